@@ -49,8 +49,12 @@ def hot_urls(rows: DataFrame, hot_rows: int) -> list[str]:
     """URLs that occur in at least ``hot_rows`` rows, the most frequent first.
 
     At most ``MAX_HOT_URLS`` come back; any other URL holds less than one row in
-    ``MAX_HOT_URLS`` and needs no care.
+    ``MAX_HOT_URLS`` and needs no care. A table of fewer bytes than ``hot_rows`` cannot
+    hold such a URL and is not counted.
     """
+    size = input_bytes(rows)
+    if size is not None and size < hot_rows:
+        return []
     counts = rows.groupBy("url").count().where(F.col("count") >= hot_rows)
     top = counts.orderBy(F.desc("count"), "url").limit(MAX_HOT_URLS)
     return [row["url"] for row in top.collect()]
@@ -314,7 +318,7 @@ def page_nodes(visited: DataFrame, graph: LinkGraph, config: CrawlConfig) -> Dat
     )
 
 
-def named_nodes(visited: DataFrame, titles: DataFrame) -> DataFrame:
-    """Nodes whose titles come from a table ``url, title`` instead of pages."""
+def named_nodes(visited: DataFrame, records: DataFrame) -> DataFrame:
+    """Nodes whose title and text come from a table ``url, title, text``."""
     scraped = visited.where("scraped").select(*KEY, "level", "parent_url", "path")
-    return scraped.join(titles, "url").select(*KEY, "title", "level", "parent_url", "path")
+    return scraped.join(records, "url").select(*KEY, "title", "level", "parent_url", "path", "text")

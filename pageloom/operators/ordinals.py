@@ -14,7 +14,7 @@ PARTITION_SHIFT = 33
 def with_ordinal(df: DataFrame, group: list[str], order: list[str], name: str, scratch: Scratch) -> DataFrame:
     """Add ``name``: 1, 2, … within each group, in the given order.
 
-    Rows are range-partitioned and sorted once and written. Each partition then counts
+    Group columns must not be null. Rows are range-partitioned and sorted once and written. Each partition then counts
     its own rows per group, and a running sum over those counts (at most one row per
     group and partition) gives every partition its start. One huge group spreads over
     as many partitions as it fills.
@@ -26,7 +26,6 @@ def with_ordinal(df: DataFrame, group: list[str], order: list[str], name: str, s
     starts = counts.select(
         *group, "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    same = [placed[key].eqNullSafe(starts[key]) for key in group] + [placed["part"] == starts["part"]]
-    numbered = placed.join(starts, same)
-    ordinal = (starts["start"] + placed["ord"] - starts["first"] + 1).alias(name)
-    return numbered.select(*[placed[c] for c in df.columns], ordinal)
+    numbered = placed.join(starts, [*group, "part"])
+    ordinal = F.col("start") + F.col("ord") - F.col("first") + 1
+    return numbered.select(*df.columns, ordinal.alias(name))
