@@ -77,6 +77,11 @@ class PageReader(HTMLParser):
         self.selectors = selectors
         self.drop_tags = drop_tags
         self.collapse_blanks = collapse_blanks
+        self.bare_matches: dict[tuple, tuple] = {}
+
+    def updatepos(self, i, j):
+        """Line numbers are of no use here."""
+        return j
 
     def read(self, html: str):
         self.reset()
@@ -143,8 +148,36 @@ class PageReader(HTMLParser):
     # Elements ---------------------------------------------------------------------
     def _start(self, tag, attributes, stays_open):
         self._flush()
-        attributes = {name: value or "" for name, value in attributes}
         reached = self.open[-1][1] if self.open else (0,) * len(self.selectors)
+        if attributes:
+            attributes = {name: value or "" for name, value in attributes}
+            hits, here = self._match(tag, attributes, reached)
+            if hits and "href" in attributes:
+                self.links.append(
+                    {
+                        "pos": len(self.links),
+                        "href": attributes["href"],
+                        "in_dropped": bool(self.dropped or tag in self.drop_tags),
+                        "matched": hits,
+                    }
+                )
+        else:
+            # Elements without attributes match alike wherever the chains stand alike.
+            known = self.bare_matches.get((tag, reached))
+            if known is None:
+                known = self.bare_matches[tag, reached] = self._match(tag, {}, reached)
+            here = known[1]
+        if not stays_open:
+            return
+        self.open.append((tag, here))
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self._count(tag, 1)
+        if tag in ("h1", "title") and tag not in self.captured and not self.dropped:
+            self.captured[tag] = []
+            self.capturing[len(self.open)] = tag
+
+    def _match(self, tag, attributes, reached):
+        """Selectors the element meets, and how far each chain has got with it."""
         hits, here = [], list(reached)
         for index, chain in enumerate(self.selectors):
             done = reached[index]
@@ -153,23 +186,7 @@ class PageReader(HTMLParser):
                     hits.append(index)
             elif chain[done].matches(tag, attributes):
                 here[index] += 1
-        if hits and "href" in attributes:
-            self.links.append(
-                {
-                    "pos": len(self.links),
-                    "href": attributes["href"],
-                    "in_dropped": bool(self.dropped or tag in self.drop_tags),
-                    "matched": hits,
-                }
-            )
-        if not stays_open:
-            return
-        self.open.append((tag, tuple(here)))
-        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
-        self._count(tag, 1)
-        if tag in ("h1", "title") and tag not in self.captured and not self.dropped:
-            self.captured[tag] = []
-            self.capturing[len(self.open)] = tag
+        return hits, tuple(here)
 
     def _count(self, tag, change):
         if tag in self.drop_tags:

@@ -6,7 +6,7 @@ syntax of RFC 3986 as one pattern.
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -192,17 +192,26 @@ def join_url(base: Column, href: Column) -> Column:
 # --- link rules -----------------------------------------------------------------------
 
 
-def same_domain(url: Column, base_domain: Column) -> Column:
-    """Hosts are equal, case and port included; an empty base allows every host."""
-    return (base_domain == "") | (netloc(url) == base_domain)
+def same_domain(url: Column, base_domain: Column, base_root: Column | None = None) -> Column:
+    """Hosts are equal, case and port included; an empty base allows every host.
+
+    With ``base_root`` (scheme and host of the base) most links pass without a regex:
+    they start with it and their host ends there.
+    """
+    same = (base_domain == "") | (netloc(url) == base_domain)
+    if base_root is None:
+        return same
+    after = F.substring(url, F.length(base_root) + 1, F.lit(1))
+    return (F.startswith(url, base_root) & after.isin("", "/", "?", "#")) | same
+
+
+def _contains_any(url: Column, needles: tuple[str, ...]) -> Column:
+    return reduce(lambda hit, needle: hit | F.contains(url, F.lit(needle)), needles, F.lit(False))
 
 
 def has_excluded_path(url: Column, excluded: tuple[str, ...]) -> Column:
     """Any entry occurs anywhere in the URL."""
-    hit = F.lit(False)
-    for entry in excluded:
-        hit = hit | F.contains(url, F.lit(entry))
-    return hit
+    return _contains_any(url, excluded)
 
 
 def has_fragment_or_query(url: Column) -> Column:
@@ -210,7 +219,7 @@ def has_fragment_or_query(url: Column) -> Column:
 
 
 def is_non_content(url: Column) -> Column:
-    return url.rlike("|".join(re.escape(token) for token in NON_CONTENT_TOKENS))
+    return _contains_any(url, NON_CONTENT_TOKENS)
 
 
 def base_prefix(base_url: Column, mode: str) -> Column:

@@ -21,7 +21,7 @@ from pageloom.operators import links as lk
 from pageloom.operators.extract import heading, title
 from pageloom.operators.parse import parse_pages
 from pageloom.sources.scratch import BUCKET_BYTES, Scratch, bucket_count, input_bytes
-from pageloom.sources.snapshots import MISSING_PAGE, fetch_error
+from pageloom.sources.snapshots import MISSING_PAGE, copy_order, fetch_error
 
 KEY = ["crawl_id", "url"]
 MAX_HOT_URLS = 1000
@@ -105,9 +105,7 @@ def page_graph(
             size = size * pages.count() // max(stored.count(), 1)
     buckets = config.buckets or bucket_count(pages.sparkSession, size)
     error = fetch_error(pages, config)
-    order = F.xxhash64("html")
-    if "page_id" in pages.columns:
-        order = F.coalesce(F.col("page_id"), order)
+    order = copy_order(pages)
     fetched = pages.select(
         "url",
         order.alias("page_order"),
@@ -142,7 +140,9 @@ def edge_graph(
     rows = edges.where(lk.passes_page_rules(F.col("url"), config)).select(
         F.col("src_url").alias("url"), F.array("url").alias("links")
     )
-    buckets = config.buckets or bucket_count(edges.sparkSession, input_bytes(edges))
+    # Written first: the rows are counted, then placed, and their plan runs only once.
+    rows = scratch.write(rows, "edges")
+    buckets = config.buckets or bucket_count(edges.sparkSession, input_bytes(rows))
     hot = hot_urls(rows, config.hot_rows)
     heavy = None
     if hot:
@@ -180,25 +180,21 @@ def _first_frontier(seeds: DataFrame, known: DataFrame | None, config: CrawlConf
         *KEY,
         F.lit(0).alias("level"),
         F.lit(None).cast("string").alias("parent_url"),
-        F.array(urls.sort_key(F.col("url"), config.sort_by_depth)).alias("path"),
+        _own_key(config).alias("path"),
         "base_url",
-        urls.netloc(F.col("base_url")).alias("base_domain"),
     )
 
 
 def _links_of(frontier: DataFrame, graph: LinkGraph, config: CrawlConfig) -> DataFrame:
     """Frontier rows with the links of their scraped pages that pass every rule."""
-    sources = frontier.select("crawl_id", "url", "base_url", "base_domain", "ord")
-    found = lookup(sources, graph.links, config)
+    found = lookup(frontier.withColumn("base", lk.crawl_base(F.col("base_url"), config)), graph.links, config)
     if graph.heavy is not None:
         # Neither side is bucketed here, so skewed partitions can be split at run time.
-        found = found.unionByName(sources.join(graph.heavy, "url"))
-    exploded = found.select(
-        "crawl_id", "base_url", "base_domain", "ord", F.explode("links").alias("link")
-    )
-    return exploded.where(
-        lk.passes_crawl_rules(F.col("link"), F.col("base_url"), F.col("base_domain"), config)
-    )
+        heavy = frontier.join(graph.heavy, "url")
+        found = found.unionByName(heavy.withColumn("base", lk.crawl_base(F.col("base_url"), config)))
+    kept = [name for name in frontier.columns if name not in ("path", "parent_url", "base_url")]
+    exploded = found.select(*kept, "base", F.explode("links").alias("link"))
+    return exploded.where(lk.passes_crawl_rules(F.col("link"), F.col("base"), config)).drop("base")
 
 
 def _next_frontier(
@@ -218,19 +214,30 @@ def _next_frontier(
         F.col("url").alias("parent_url"),
         F.col("path").alias("parent_path"),
         "base_url",
-        "base_domain",
     )
-    own = F.array(urls.sort_key(F.col("url"), config.sort_by_depth))
     return new.join(parents, "ord").select(
         *KEY,
         "level",
         "parent_url",
-        F.concat("parent_path", own).alias("path"),
+        F.concat("parent_path", _own_key(config)).alias("path"),
         "base_url",
-        "base_domain",
+        F.col("ord").alias("parent_ord"),
     )
 
 
+def _own_key(config: CrawlConfig) -> Column:
+    return F.array(urls.sort_key(F.col("url"), config.sort_by_depth))
+
+
+def _write_frontier(found: DataFrame, order: str, scratch: Scratch) -> DataFrame:
+    """Write a level in the order of the tree: by crawl or parent, then by own key.
+
+    Parents are ordered already, so this sorts by a long and one string, not by paths.
+    """
+    keyed = found.withColumn("own_key", F.element_at("path", -1))
+    return scratch.write_ordered(keyed, "frontier", [order, "own_key"]).drop("own_key", "parent_ord")
+
+
 def traverse(
     seeds: DataFrame,
     graph: LinkGraph,
@@ -245,16 +252,16 @@ def traverse(
     visited again nor expanded. A failed page stays visited but leads nowhere.
     """
     known = None if known is None else known.select(*KEY)
-    frontier = scratch.write_ordered(_first_frontier(seeds, known, config), "frontier", ["crawl_id", "path"])
+    frontier = _write_frontier(_first_frontier(seeds, known, config), "crawl_id", scratch)
     rounds = [frontier]
     for _ in range(max_depth):
         seen = _union([r.select(*KEY) for r in rounds] + ([] if known is None else [known]))
         found = _next_frontier(frontier, seen, graph, config)
-        frontier = scratch.write_ordered(found, "frontier", ["crawl_id", "path"])
+        frontier = _write_frontier(found, "parent_ord", scratch)
         if frontier.isEmpty():
             break
         rounds.append(frontier)
-    visited = _union(rounds).drop("ord", "base_domain")
+    visited = _union(rounds).drop("ord")
     stored = graph.fetched.withColumn("stored", F.lit(True))
     checked = lookup(visited, stored, config, "left")
     error = F.when(F.col("stored").isNull(), F.lit(MISSING_PAGE)).otherwise(F.col("error"))
@@ -275,23 +282,9 @@ def links_found(
     A link counts if it passes the rules and was not visited up to the page's level,
     which is to say that it was visited one level further down.
     """
-    sources = visited.where(F.col("scraped") & (F.col("level") < max_depth)).select(
-        *KEY, "level", "base_url", urls.netloc(F.col("base_url")).alias("base_domain")
-    )
-    found = lookup(sources, graph.links, config)
-    if graph.heavy is not None:
-        found = found.unionByName(sources.join(graph.heavy, "url"))
-    pairs = (
-        found.select(
-            "crawl_id",
-            F.col("url").alias("src_url"),
-            "level",
-            "base_url",
-            "base_domain",
-            F.explode("links").alias("url"),
-        )
-        .where(lk.passes_crawl_rules(F.col("url"), F.col("base_url"), F.col("base_domain"), config))
-        .select("crawl_id", "src_url", "level", "url")
+    sources = visited.where(F.col("scraped") & (F.col("level") < max_depth))
+    pairs = _links_of(sources.drop("scraped", "error"), graph, config).select(
+        "crawl_id", F.col("url").alias("src_url"), "level", F.col("link").alias("url")
     )
     deeper = visited.select(*KEY, (F.col("level") - 1).alias("level"))
     return (
@@ -304,21 +297,21 @@ def links_found(
 # --- nodes and content ----------------------------------------------------------------
 
 
-def page_nodes(visited: DataFrame, graph: LinkGraph, config: CrawlConfig) -> DataFrame:
-    """Scraped pages with ``title`` and ``text``; the title may come from the base URL."""
-    scraped = visited.where("scraped").select(*KEY, "level", "parent_url", "path", "base_url")
+def scraped_rows(visited: DataFrame) -> DataFrame:
+    """What a node is before its page is looked up."""
+    return visited.where("scraped").select(*KEY, "level", "parent_url", "path", "base_url")
+
+
+def page_nodes(scraped: DataFrame, graph: LinkGraph, config: CrawlConfig) -> DataFrame:
+    """Add ``title`` and ``text`` of their pages to ``scraped_rows``.
+
+    Rank or number the rows before, while they are narrow; further columns stay.
+    """
     found = lookup(scraped, graph.pages, config)
-    return found.select(
-        *KEY,
-        title(F.col("heading"), F.col("base_url")).alias("title"),
-        "level",
-        "parent_url",
-        "path",
-        "text",
-    )
+    named = found.withColumn("title", title(F.col("heading"), F.col("base_url")))
+    return named.drop("heading", "base_url")
 
 
-def named_nodes(visited: DataFrame, records: DataFrame) -> DataFrame:
+def named_nodes(scraped: DataFrame, records: DataFrame) -> DataFrame:
     """Nodes whose title and text come from a table ``url, title, text``."""
-    scraped = visited.where("scraped").select(*KEY, "level", "parent_url", "path")
-    return scraped.join(records, "url").select(*KEY, "title", "level", "parent_url", "path", "text")
+    return scraped.join(records, "url").drop("base_url")

@@ -134,15 +134,20 @@ def passes_page_rules(url: Column, config: CrawlConfig) -> Column:
     return ok & ~urls.has_excluded_path(url, config.excluded_paths) if config.excluded_paths else ok
 
 
-def passes_crawl_rules(
-    url: Column, base_url: Column, base_domain: Column, config: CrawlConfig
-) -> Column:
-    """Rules that compare a link with its crawl's base."""
-    ok = F.lit(True)
-    if config.prefix != "off":
-        ok = F.startswith(url, urls.base_prefix(base_url, config.prefix))
+def crawl_base(base_url: Column, config: CrawlConfig) -> Column:
+    """What ``passes_crawl_rules`` compares links with, worked out once per page."""
+    return F.struct(
+        urls.base_prefix(base_url, config.prefix).alias("prefix"),
+        urls.netloc(base_url).alias("domain"),
+        urls.site_root(base_url).alias("root"),
+    )
+
+
+def passes_crawl_rules(url: Column, base: Column, config: CrawlConfig) -> Column:
+    """Rules that compare a link with its crawl's ``crawl_base``."""
+    ok = F.startswith(url, base["prefix"])
     if config.same_domain:
-        return ok & urls.same_domain(url, base_domain)
+        return ok & urls.same_domain(url, base["domain"], base["root"])
     return ok & urls.is_valid_url(url)
 
 

@@ -80,9 +80,8 @@ def _page_rows(numbered: DataFrame, items: Column) -> DataFrame:
     )
 
 
-def tree_pages(nodes: DataFrame, config: CrawlConfig, scratch: Scratch) -> DataFrame:
-    """One document page per node, after the title page and the contents."""
-    numbered = with_preorder_rank(nodes, scratch).withColumn("doc_page", F.col("rank") + 2)
+def tree_pages(ranked: DataFrame, config: CrawlConfig) -> DataFrame:
+    """One document page per ranked node, after the title page and the contents."""
     shown = tx.ascii_only(F.col("title")) if config.sanitize_body else F.col("title")
     head = F.concat(F.lit("Level "), F.col("level").cast("string"), F.lit(": "), shown)
     items = F.concat(
@@ -90,16 +89,20 @@ def tree_pages(nodes: DataFrame, config: CrawlConfig, scratch: Scratch) -> DataF
         _items("url", F.array(F.concat(F.lit("URL: "), F.col("url")))),
         _items("body", _body(config)),
     )
-    return _page_rows(numbered, items)
+    return _page_rows(ranked.withColumn("doc_page", F.col("rank") + 2), items)
 
 
-def flat_pages(content: DataFrame, config: CrawlConfig, scratch: Scratch) -> DataFrame:
-    """One document page per URL, after the title page."""
-    numbered = with_ordinal(content, ["crawl_id"], ["url"], "page", scratch)
+def number_pages(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """Add ``rank``, the page's place among its crawl's URLs, from 1."""
+    return with_ordinal(pages, ["crawl_id"], ["url"], "rank", scratch)
+
+
+def flat_pages(numbered: DataFrame, config: CrawlConfig) -> DataFrame:
+    """One document page per numbered URL, after the title page."""
     items = F.concat(
         _items("url", F.array(F.concat(F.lit("URL: "), F.col("url")))), _items("body", _body(config))
     )
-    return _page_rows(numbered.withColumn("doc_page", F.col("page") + 1), items)
+    return _page_rows(numbered.withColumn("doc_page", F.col("rank") + 1), items)
 
 
 def plain_page_lines(records: DataFrame, config: CrawlConfig) -> DataFrame:

@@ -275,7 +275,7 @@ def _store_visited(spark, sf_dir) -> DataFrame:
 def _store_nodes(spark, sf_dir) -> DataFrame:
     seeds, edges, records = _store(spark, sf_dir)
     visited = _traverse(spark, seeds, edges, records.select("url"), 2, STORE)
-    return cr.named_nodes(visited, records)
+    return cr.named_nodes(cr.scraped_rows(visited), records)
 
 
 def _visited_columns(visited: DataFrame) -> DataFrame:
@@ -308,6 +308,14 @@ def _supply(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     part_url = _url("/part/", F.col("l_partkey"))
     supplier_url = _url("/supplier/", F.col("l_suppkey"))
     pairs = lineitem.select("l_partkey", "l_suppkey").distinct()
+    both_ways = pairs.select(part_url.alias("part"), supplier_url.alias("supplier")).select(
+        F.explode(
+            F.array(
+                F.struct(F.col("supplier").alias("src_url"), F.col("part").alias("url")),
+                F.struct(F.col("part").alias("src_url"), F.col("supplier").alias("url")),
+            )
+        ).alias("edge")
+    )
     edges = (
         nation.select(
             _url("/region/", F.col("n_regionkey")).alias("src_url"), _url("/nation/", F.col("n_nationkey")).alias("url")
@@ -318,8 +326,7 @@ def _supply(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
                 _url("/supplier/", F.col("s_suppkey")).alias("url"),
             )
         )
-        .unionByName(pairs.select(supplier_url.alias("src_url"), part_url.alias("url")))
-        .unionByName(pairs.select(part_url.alias("src_url"), supplier_url.alias("url")))
+        .unionByName(both_ways.select("edge.src_url", "edge.url"))
     )
     stored = (
         seeds.select("url")
@@ -373,7 +380,10 @@ def contents_numbered(spark, sf_dir):
 
 
 def report_pages(spark, sf_dir):
-    return rp.tree_pages(_store_nodes(spark, sf_dir), STORE, Scratch(spark))
+    seeds, edges, records = _store(spark, sf_dir)
+    visited = _traverse(spark, seeds, edges, records.select("url"), 2, STORE)
+    ranked = tr.with_preorder_rank(cr.scraped_rows(visited), Scratch(spark))
+    return rp.tree_pages(cr.named_nodes(ranked, records), STORE)
 
 
 def _flat_content(spark, sf_dir) -> DataFrame:
@@ -386,7 +396,10 @@ def flat_text(spark, sf_dir):
 
 
 def report_pages_flat(spark, sf_dir):
-    return rp.flat_pages(_flat_content(spark, sf_dir), docs_config(), Scratch(spark))
+    scratch = Scratch(spark)
+    content = scratch.write(_flat_content(spark, sf_dir), "content")
+    numbered = rp.number_pages(content.select("crawl_id", "url"), scratch)
+    return rp.flat_pages(numbered.join(content, ["crawl_id", "url"]), docs_config())
 
 
 def report_pages_plain(spark, sf_dir):

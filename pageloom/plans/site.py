@@ -39,7 +39,13 @@ class SiteCrawl:
     @cached_property
     def nodes(self) -> DataFrame:
         """``crawl_id, url, title, level, parent_url, path, text``."""
-        return cr.page_nodes(self.visited, self.graph, self.config)
+        return cr.page_nodes(cr.scraped_rows(self.visited), self.graph, self.config)
+
+    @cached_property
+    def ranked_nodes(self) -> DataFrame:
+        """Nodes with ``rank``, their place in the tree; ranked before text is attached."""
+        ranked = tr.with_preorder_rank(cr.scraped_rows(self.visited), self.scratch)
+        return cr.page_nodes(ranked, self.graph, self.config)
 
     @cached_property
     def content(self) -> DataFrame:
@@ -109,7 +115,7 @@ def write_outputs(
         title_rows = rp.title_page(crawl.summary, crawl.bases, when)
         sinks.write_table(title_rows, ["crawl_id", "line_no"], f"{folder}/pages/title_page")
         sinks.write_table(rp.contents(crawl.nodes), ["crawl_id", "path"], f"{folder}/pages/contents")
-        pages = rp.tree_pages(crawl.nodes, crawl.config, crawl.scratch)
+        pages = rp.tree_pages(crawl.ranked_nodes, crawl.config)
         sinks.write_table(pages, ["crawl_id", "doc_page", "line_no"], f"{folder}/pages/body")
     if "json" in chosen:
         sinks.write_blocks(tr.json_blocks(crawl.nodes), ["path"], f"{folder}/menu_tree")

@@ -77,7 +77,7 @@ class Scratch:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
 
     def write_ordered(self, df: DataFrame, label: str, keys: list[str]) -> DataFrame:
-        """Write ``df`` in key order with ``ord``, a long that rises with the keys."""
+        """Write ``df`` in the order of unique keys, with ``ord``, a long that rises with them."""
         sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         return self.write(sorted_.withColumn("ord", F.monotonically_increasing_id()), label)
 

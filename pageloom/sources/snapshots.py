@@ -50,13 +50,21 @@ def fetch_error(pages: DataFrame, config: CrawlConfig) -> Column:
     return error
 
 
+def copy_order(pages: DataFrame) -> Column:
+    """Rank of a stored copy among those of the same URL; the lowest one counts."""
+    if "page_id" in pages.columns:
+        return F.coalesce(F.col("page_id"), F.xxhash64("html"))
+    return F.xxhash64("html")
+
+
 def is_retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE_STATUS)
 
 
 def page_lookup(requests: DataFrame, pages: DataFrame, config: CrawlConfig) -> DataFrame:
     """Requested URLs with ``scraped`` and ``error``; a missing page is a failed fetch."""
-    stored = pages.select("url", fetch_error(pages, config).alias("fetch_error"), F.lit(True).alias("stored"))
+    first_copy = F.min_by(fetch_error(pages, config), copy_order(pages))
+    stored = pages.groupBy("url").agg(first_copy.alias("fetch_error")).withColumn("stored", F.lit(True))
     hit = F.coalesce(F.col("stored"), F.lit(False))
     return (
         requests.join(stored, "url", "left")
