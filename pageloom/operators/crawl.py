@@ -25,6 +25,7 @@ from pageloom.sources.snapshots import MISSING_PAGE, copy_order, fetch_error
 
 KEY = ["crawl_id", "url"]
 MAX_HOT_URLS = 1000
+MAX_BROADCAST_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -91,15 +92,11 @@ def page_graph(
     their base's host, pages of other hosts are left out before they are parsed.
     """
     size = input_bytes(pages)
-    if config.same_domain:
+    hosts = _base_hosts(seeds, scratch) if config.same_domain else None
+    if hosts is not None:
         stored = pages
-        bases = seeds.select(F.explode(F.array("url", "base_url")).alias("url"))
-        hosts = bases.select(urls.netloc(F.col("url")).alias("host")).distinct()
-        pages = (
-            stored.withColumn("host", urls.netloc(F.col("url")))
-            .join(hosts, "host", "left_semi")
-            .drop("host")
-        )
+        on_host = stored.withColumn("host", urls.netloc(F.col("url")))
+        pages = on_host.join(F.broadcast(hosts), "host", "left_semi").drop("host")
         if size is not None and size > BUCKET_BYTES:
             # Counting reads URLs alone and tells how much of the snapshot is left.
             size = size * pages.count() // max(stored.count(), 1)
@@ -130,6 +127,17 @@ def page_graph(
     )
 
 
+def _base_hosts(seeds: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Hosts the crawls start from or stay on, if they are few enough to broadcast.
+
+    With more of them, leaving other hosts out would mean to shuffle every page by its
+    host, so then all pages are parsed instead.
+    """
+    bases = seeds.select(F.explode(F.array("url", "base_url")).alias("url"))
+    hosts = scratch.write(bases.select(urls.netloc(F.col("url")).alias("host")).distinct(), "hosts")
+    return hosts if hosts.count() <= MAX_BROADCAST_HOSTS else None
+
+
 def edge_graph(
     edges: DataFrame, fetched: DataFrame, config: CrawlConfig, scratch: Scratch
 ) -> LinkGraph:

@@ -19,6 +19,9 @@ from pageloom.functions.markup import PageReader, compile_selector
 cloudpickle.register_pickle_by_value(markup)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Pages parsed and sent back together, which bounds what a task holds.
+ROWS_AT_ONCE = 256
+
 ANCHORS = T.ArrayType(
     T.StructType(
         [
@@ -59,19 +62,16 @@ def parse_pages(pages: DataFrame, config: CrawlConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = PageReader([compile_selector(s) for s in selectors], drop_tags, collapse_blanks)
         for batch in batches:
-            rows = [_read(reader, html) for html in batch.column("html").to_pylist()]
-            parsed = pa.Table.from_pylist(rows, schema=parsed_schema).combine_chunks()
-            columns = [batch.column(field.name).cast(arrow_schema.field(field.name).type) for field in kept]
-            columns += [_one_chunk(parsed.column(field.name), field.type) for field in parsed_schema]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                rows = [_read(reader, html) for html in part.column("html").to_pylist()]
+                columns = [part.column(f.name).cast(arrow_schema.field(f.name).type) for f in kept]
+                columns += pa.RecordBatch.from_pylist(rows, schema=parsed_schema).columns
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
     return pages.mapInArrow(run, schema)
 
 
-def _one_chunk(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
-    return column.chunk(0) if column.num_chunks else pa.array([], kind)
-
-
 def _read(reader: PageReader, html: str | None) -> dict:
     if html is None:
         return {}

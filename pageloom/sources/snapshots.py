@@ -19,6 +19,8 @@ PAGES_SCHEMA = T.StructType(
 SEEDS_SCHEMA = T.StructType(
     [T.StructField("crawl_id", T.StringType()), T.StructField("url", T.StringType())]
 )
+MISSING_PAGE = "Failed to fetch URL: no page stored"
+LAST_PAGE_ID = (1 << 63) - 1
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def fetch_error(pages: DataFrame, config: CrawlConfig) -> Column:
 def copy_order(pages: DataFrame) -> Column:
     """Rank of a stored copy among those of the same URL; the lowest one counts."""
     if "page_id" in pages.columns:
-        return F.coalesce(F.col("page_id"), F.xxhash64("html"))
+        return F.coalesce(F.col("page_id"), F.lit(LAST_PAGE_ID))
     return F.xxhash64("html")
 
 
@@ -79,4 +81,3 @@ def page_lookup(requests: DataFrame, pages: DataFrame, config: CrawlConfig) -> D
     )
 
 
-MISSING_PAGE = "Failed to fetch URL: no page stored"
