@@ -21,7 +21,8 @@ _LEADING = "".join(chr(c) for c in range(33))
 
 def _tidy(url: Column) -> Column:
     """Leading control characters and blanks go, tabs and line ends go anywhere."""
-    return F.translate(F.ltrim(url, F.lit(_LEADING)), "\t\r\n", "")
+    trimmed = F.ltrim(url, F.lit(_LEADING))
+    return reduce(lambda text, char: F.replace(text, F.lit(char), F.lit("")), "\t\r\n", trimmed)
 
 
 def _let(value: Column, body) -> Column:

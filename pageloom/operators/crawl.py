@@ -243,7 +243,7 @@ def _write_frontier(found: DataFrame, order: str, scratch: Scratch) -> DataFrame
     Parents are ordered already, so this sorts by a long and one string, not by paths.
     """
     keyed = found.withColumn("own_key", F.element_at("path", -1))
-    return scratch.write_ordered(keyed, "frontier", [order, "own_key"]).drop("own_key", "parent_ord")
+    return scratch.write_ordered(keyed, "frontier", [order, "own_key"], ("own_key", "parent_ord"))
 
 
 def traverse(

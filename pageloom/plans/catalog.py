@@ -261,10 +261,11 @@ def _store(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _traverse(spark, seeds, edges, stored, depth, config, known=None) -> DataFrame:
     scratch = Scratch(spark)
-    graph = cr.edge_graph(edges, stored, config, scratch)
-    visited = cr.traverse(cr.seed_rows(seeds), graph, depth, config, scratch, known)
-    scratch.release()
-    return visited
+    try:
+        graph = cr.edge_graph(edges, stored, config, scratch)
+        return cr.traverse(cr.seed_rows(seeds), graph, depth, config, scratch, known)
+    finally:
+        scratch.release()
 
 
 def _store_visited(spark, sf_dir) -> DataFrame:

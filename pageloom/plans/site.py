@@ -88,9 +88,11 @@ def crawl_site(
     config = config or CrawlConfig()
     scratch = Scratch(pages.sparkSession)
     seeds = cr.seed_rows(seeds)
-    graph = cr.page_graph(pages, seeds, config, scratch)
-    visited = cr.traverse(seeds, graph, max_depth, config, scratch, known)
-    scratch.release()
+    try:
+        graph = cr.page_graph(pages, seeds, config, scratch)
+        visited = cr.traverse(seeds, graph, max_depth, config, scratch, known)
+    finally:
+        scratch.release()
     crawl = SiteCrawl(config, max_depth, graph, scratch, seeds, visited, cr.rejected_seeds(seeds))
     if strict:
         failed = visited.where((F.col("level") == 0) & ~F.col("scraped")).select("url", "error")

@@ -76,9 +76,12 @@ class Scratch:
         while self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
 
-    def write_ordered(self, df: DataFrame, label: str, keys: list[str]) -> DataFrame:
-        """Write ``df`` in the order of unique keys, with ``ord``, a long that rises with them."""
-        sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    def write_ordered(self, df: DataFrame, label: str, keys: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` in the order of unique keys, with ``ord``, a long that rises with them.
+
+        Keys in ``drop`` serve for the order only and are not written.
+        """
+        sorted_ = df.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*drop)
         return self.write(sorted_.withColumn("ord", F.monotonically_increasing_id()), label)
 
 
