@@ -15,16 +15,27 @@ BLANKS = (
 
 
 def _char_class(chars: str) -> str:
-    return "".join(f"\\u{ord(c):04x}" for c in chars)
-
-
-_BREAK = f"[{_char_class(LINE_BREAKS)}]"
-_BLANK = f"[{_char_class(BLANKS)}]"
-_INNER = f"[{_char_class(''.join(c for c in BLANKS if c not in LINE_BREAKS + ' '))}]"
-
-# A run of blanks that holds a line break or two spaces in a row. The look-behind lets a
-# match start only where a run starts, so long runs cost linear time.
-_SEPARATOR_RUN = f"(?<!{_BLANK})(?:{_INNER}| (?! ))*+(?:{_BREAK}|  ){_BLANK}*+"
+    """Regex class of the characters, neighbours joined to ranges, which match faster."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in ranges) + "]"
+
+
+_BREAK = _char_class(LINE_BREAKS)
+_BLANK = _char_class(BLANKS)
+_INLINE = _char_class("".join(c for c in BLANKS if c not in LINE_BREAKS))
+_TABLIKE = _char_class("".join(c for c in BLANKS if c not in LINE_BREAKS + " "))
+
+# A run of blanks that holds a line break or two spaces in a row. Where the run starts with
+# other blanks, the look-behind lets a match start only there, so long runs cost linear time.
+_SEPARATOR = f"(?:{_BREAK}|  )"
+_SEPARATOR_RUN = (
+    f"(?:{_SEPARATOR}|{_INLINE}(?<!{_INLINE}{_INLINE})(?:{_TABLIKE}| (?! ))*+{_SEPARATOR}){_BLANK}*+"
+)
 
 _CASED = "[\\p{IsLowercase}\\p{IsUppercase}\\p{Lt}]"
 
