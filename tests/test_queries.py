@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from pageloom.plans import catalog, oracles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracles.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, connection, name):
     assert difference(spark, connection, FOLDER, name) is None
 
