@@ -187,13 +187,25 @@ def bits_of(prefix: str, n: int) -> Column:
     return F.array_compact(F.array(*own).cast("array<int>"))
 
 
+def possible(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The rules' Boolean queries on one text itself: what fails them is no candidate of the index either."""
+    lower, tests = F.lower(text), []
+    for rule in rules:
+        query = trigram_query(rule.pattern)
+        tests += [reduce(Column.__and__, [F.contains(lower, F.lit(t)) for t in a]) for a in query]
+        if not query:
+            tests.append(F.rlike(text, F.lit(rule.probe or rule.pattern)))
+    return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
+
+
 def spans(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, rule, start, end) of the texts of ``docs``, each distinct text once."""
     value = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(text_key(value).alias("key"), value.alias("text"))
     wanted = candidates(texts, rules).groupBy("key").agg(F.collect_set("rule").alias("rules"))
     wanted = written(wanted, "candidates")
-    held = texts.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
+    # Only texts that may be candidates are shuffled for the join, at any size of either side.
+    held = texts.where(possible(F.col("text"), rules)).join(wanted, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
 
     def pieces(i: int, r: Rule) -> Column:
         """Matches and the gaps before them, for one rule."""
@@ -234,7 +246,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans become one. ``n_chars`` follows the text."""
     by_text = written(found_by_text(docs, text, rules), "secrets")
-    keyed = docs.withColumn("key_", text_key(F.coalesce(F.col(text), F.lit(""))))
+    maybe = possible(F.col(text), rules)
+    keyed = docs.where(maybe).withColumn("key_", text_key(F.col(text)))
     joined_ = keyed.join(by_text.withColumnRenamed("key", "key_"), "key_", "left")
     replaced = F.expr(
         f"""aggregate(found, struct(CAST(0 AS bigint) AS at, '' AS out), (s, x) -> IF(x.start >= s.at,
@@ -244,4 +257,4 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     out = joined_.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(replaced))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.char_length(text)))
-    return out.select(*docs.columns)
+    return docs.where(~maybe).union(out.select(*docs.columns))
