@@ -24,10 +24,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession).write(df, label)
 
 
+ROWS_AT_ONCE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what Python makes of them stays small as well."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def by_text(batches: Iterator[pa.RecordBatch], text: str, row: Callable, schema: pa.Schema, keep: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Columns ``keep`` as they are, then the fields that ``row(text)`` gives for each row."""
     names = [f.name for f in schema if f.name not in keep]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [row(t.as_py()) for t in batch.column(text)]
         columns = [batch.column(name) for name in keep]
         for i, name in enumerate(names):

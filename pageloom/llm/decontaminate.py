@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import written
+from pageloom.llm.common import slices, written
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -128,7 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     kept = ("key_", *keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen = [look(t.as_py()) for t in batch.column("text_")]
             at = [i for i, x in enumerate(seen) if x]
             own = [batch.column(n).take(pa.array(at, pa.int64())) for n in kept]

@@ -31,10 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import slices
 from pageloom.llm.tokens import encoder
 
 PARTITION_SHIFT = 33
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*(?:</w>)?")
 
 
@@ -46,7 +47,7 @@ class PackingSettings:
     window_cost: int = 32
     grain: int = 64
     shortest: int = 64  # smallest window tried without padding
-    block_tokens: int = 1 << 20
+    block_tokens: int = 1 << 19
 
 
 def places(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, s: PackingSettings) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id",
                 lo = hi
             first += int(window[-1]) + 1
 
-        for batch in batches:
+        for batch in slices(batches):
             field = batch.schema.field("key_")
             for k, t in zip(batch.column("key_"), batch.column("text_")):
                 own = np.append(encode(t.as_py()), end)

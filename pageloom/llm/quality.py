@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import by_text, byte_words
+from pageloom.llm.common import by_text, byte_words, slices
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -145,7 +145,7 @@ def keep_clean(docs: DataFrame, text: str = "text", settings: QualitySettings =
     otherwise, but for ``n_chars``, which follows the text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [judge(t.as_py(), settings) for t in batch.column(text)]
             new = pa.array([r[-1] for r in rows], pa.string())
             at = batch.schema.get_field_index(text)

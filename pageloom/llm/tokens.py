@@ -22,7 +22,7 @@ PLAIN = re.compile(rf"[\t\n\r\x20-\x7e¡-¿×÷‐-‧{LETTERS}]*")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 LOWERED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-MEMORY = 400_000  # pieces
+MEMORY = 150_000  # pieces
 
 
 def byte_table() -> dict[int, str]:
