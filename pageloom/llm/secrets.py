@@ -248,13 +248,13 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     by_text = written(found_by_text(docs, text, rules), "secrets")
     maybe = possible(F.col(text), rules)
     keyed = docs.where(maybe).withColumn("key_", text_key(F.col(text)))
-    joined_ = keyed.join(by_text.withColumnRenamed("key", "key_"), "key_", "left")
+    joined_ = keyed.join(by_text.select(F.col("key").alias("key_"), F.col("found").alias("found_")), "key_", "left")
     replaced = F.expr(
-        f"""aggregate(found, struct(CAST(0 AS bigint) AS at, '' AS out), (s, x) -> IF(x.start >= s.at,
+        f"""aggregate(found_, struct(CAST(0 AS bigint) AS at, '' AS out), (s, x) -> IF(x.start >= s.at,
         struct(x.end AS at, concat(s.out, substring(`{text}`, CAST(s.at + 1 AS int), CAST(x.start - s.at AS int)), '{mark}') AS out),
         struct(greatest(s.at, x.end) AS at, s.out AS out)), s -> concat(s.out, substring(`{text}`, CAST(s.at + 1 AS int))))"""
     )
-    out = joined_.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(replaced))
+    out = joined_.withColumn(text, F.when(F.col("found_").isNull(), F.col(text)).otherwise(replaced))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.char_length(text)))
+        out = out.withColumn("n_chars", F.when(F.col("found_").isNull(), F.col("n_chars")).otherwise(F.char_length(text)))
     return docs.where(~maybe).union(out.select(*docs.columns))
