@@ -16,9 +16,36 @@ from pageloom.operators.extract import slug_title
 ALPHABET = "ab é\U0001f600ßA1-.'\"\\  \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0    　​"
 
 
+# Line ends of the documented rule, then every character that counts as blank.
+LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def clean(text):
-    phrases = (phrase.strip() for line in text.splitlines() for phrase in line.strip().split("  "))
-    return "\n".join(phrase for phrase in phrases if phrase)
+    """Character scan: a phrase ends at a line end or at two spaces, and blanks at its ends go."""
+    found, phrase, line_start = [], "", True
+    at = 0
+    while at < len(text):
+        here = text[at]
+        if here in LINE_ENDS:
+            found.append(phrase)
+            phrase, line_start = "", True
+        elif here.isspace() and line_start:
+            pass
+        elif text.startswith("  ", at):
+            found.append(phrase)
+            phrase = ""
+            at += 1
+        else:
+            phrase, line_start = phrase + here, False
+        at += 1
+    found.append(phrase)
+    out = []
+    for phrase in found:
+        first = next((i for i, c in enumerate(phrase) if not c.isspace()), None)
+        if first is not None:
+            last = max(i for i, c in enumerate(phrase) if not c.isspace())
+            out.append(phrase[first : last + 1])
+    return "\n".join(out)
 
 
 @pytest.fixture(scope="module")
