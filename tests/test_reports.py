@@ -46,12 +46,72 @@ def parts(folder, crawl_id):
     return "".join(file.read_text(encoding="utf-8") for file in files)
 
 
-def expected_text(node, texts, crawl_id):
-    pad = "  " * node["level"]
-    rule = "=" * 80
-    out = f"\n{pad}{rule}\n{pad}Level {node['level']}: {node['title']}\n{pad}URL: {node['url']}\n{pad}{rule}\n\n"
-    out += "".join(f"{pad}{line}\n" for line in texts[crawl_id, node["url"]].split("\n")) + "\n"
-    return out + "".join(expected_text(child, texts, crawl_id) for child in node["children"])
+RULE = "=" * 80
+TEXTS = {
+    "one": f"""
+{RULE}
+Level 0: Docs Home
+URL: https://d.example/docs/
+{RULE}
+
+Home tag Docs Home GRSXTBMEHello
+world
+
+
+  {RULE}
+  Level 1: @
+  URL: https://d.example/docs/api/ref
+  {RULE}
+
+  D
+  R\u00e9f & more \U0001f600
+  end
+
+
+    {RULE}
+    Level 2: Deep
+    URL: https://d.example/docs/api/ref/deep/er
+    {RULE}
+
+    Deepme
+
+
+  {RULE}
+  Level 1: Guide
+  URL: https://d.example/docs/guide/
+  {RULE}
+
+  GuideUpIRead ref or q.
+
+
+    {RULE}
+    Level 2: Intro
+    URL: https://d.example/docs/guide/intro
+    {RULE}
+
+    Intro
+    OneTwoThree
+
+""".replace("@", ""),
+    "two": f"""
+{RULE}
+Level 0: Guide
+URL: https://d.example/docs/guide/
+{RULE}
+
+GuideUpIRead ref or q.
+
+
+  {RULE}
+  Level 1: Intro
+  URL: https://d.example/docs/guide/intro
+  {RULE}
+
+  Intro
+  OneTwoThree
+
+""",
+}
 
 
 def preorder(node):
@@ -62,10 +122,10 @@ def preorder(node):
 
 def test_written_text_and_json(crawl, trees, tmp_path):
     write_outputs(crawl, "both", str(tmp_path), datetime(2024, 5, 6, 7, 8, 9))
-    roots, texts = trees
+    roots, _ = trees
     assert set(roots) == {"one", "two"}
     for crawl_id, root in roots.items():
-        assert parts(tmp_path / "scraped_content", crawl_id) == expected_text(root, texts, crawl_id)
+        assert parts(tmp_path / "scraped_content", crawl_id) == TEXTS[crawl_id]
         document = parts(tmp_path / "menu_tree", crawl_id)
         assert document == json.dumps(root, indent=2) + "\n"
         assert json.loads(document) == root
