@@ -49,14 +49,14 @@ class CrawlConfig:
     ``links_from``: 'cleaned' looks for links after the dropped elements are gone,
     'raw' before. ``prefix``: a link must start with the crawl's base URL ('seed'),
     with its scheme and host ('site'), or need not ('off'). ``collapse_blanks`` reduces a
-    text piece that holds only blanks to one space or newline, outside ``pre``.
+    text piece that holds only blanks to one space or newline, outside ``pre``, as tree builders do.
     """
 
     menu_selectors: tuple[str, ...] = field(default=None)
     priority_selectors: tuple[str, ...] = PRIORITY_SELECTORS
     excluded_paths: tuple[str, ...] = EXCLUDED_PATHS
     drop_tags: tuple[str, ...] = PAGE_DROP_TAGS
-    collapse_blanks: bool = False
+    collapse_blanks: bool = True
     links_from: str = "cleaned"
     prefix: str = "seed"
     priority_fallback: bool = True
@@ -65,9 +65,10 @@ class CrawlConfig:
     sanitize_body: bool = True
     timeout: int = TIMEOUT_SECONDS
     output_dir: str = "output"
-    # A URL requested by this many frontier rows is joined apart, salted.
+    # Leave pages of hosts that no crawl stays on out before they are parsed.
+    only_base_hosts: bool = True
+    # A URL requested by this many frontier rows is joined apart, in parts of about this many rows.
     hot_rows: int = 200_000
-    salts: int = 32
     # Buckets of the written page table; None derives them from the input's size.
     buckets: int | None = None
 

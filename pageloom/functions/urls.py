@@ -99,11 +99,15 @@ def last_segment(url: Column) -> Column:
     return F.substring_index(F.element_at(F.split(path(url), "/", -1), -1), ";", 1)
 
 
+# The largest int, so no count of segments goes beyond it.
+MOST_SEGMENTS = 2147483647
+
+
 def sort_key(url: Column, by_depth: bool = True) -> Column:
     """String that orders siblings: more path segments first, then by URL."""
     if not by_depth:
         return F.concat(F.lit("0 "), url)
-    deep_first = F.lpad((F.lit(9999) - F.least(segment_count(url), F.lit(9999))).cast("string"), 4, "0")
+    deep_first = F.lpad((F.lit(MOST_SEGMENTS) - segment_count(url)).cast("string"), 10, "0")
     return F.concat(deep_first, F.lit(" "), url)
 
 

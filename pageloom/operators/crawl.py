@@ -20,12 +20,10 @@ from pageloom.functions import urls
 from pageloom.operators import links as lk
 from pageloom.operators.extract import heading, title
 from pageloom.operators.parse import parse_pages
-from pageloom.sources.scratch import BUCKET_BYTES, Scratch, bucket_count, input_bytes
-from pageloom.sources.snapshots import MISSING_PAGE, copy_order, fetch_error
+from pageloom.sources.scratch import Scratch, bucket_count, input_bytes
+from pageloom.sources.snapshots import INVALID_URL, MISSING_PAGE, copy_order, fetch_error
 
 KEY = ["crawl_id", "url"]
-MAX_HOT_URLS = 1000
-MAX_BROADCAST_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -39,6 +37,7 @@ class LinkGraph:
 
     links: DataFrame
     fetched: DataFrame
+    scratch: Scratch
     heavy: DataFrame | None = None
     pages: DataFrame | None = None
 
@@ -46,38 +45,35 @@ class LinkGraph:
 # --- hot keys -------------------------------------------------------------------------
 
 
-def hot_urls(rows: DataFrame, hot_rows: int) -> list[str]:
-    """URLs that occur in at least ``hot_rows`` rows, the most frequent first.
+def hot_keys(rows: DataFrame, config: CrawlConfig, scratch: Scratch) -> DataFrame | None:
+    """URLs that occur in ``hot_rows`` rows or more, with as many ``salts`` as they hold
+    times that number; None where there are none.
 
-    At most ``MAX_HOT_URLS`` come back; any other URL holds less than one row in
-    ``MAX_HOT_URLS`` and needs no care. A table of fewer bytes than ``hot_rows`` cannot
-    hold such a URL and is not counted.
+    They stay a table, however many there are, and nothing is collected.
     """
-    size = input_bytes(rows)
-    if size is not None and size < hot_rows:
-        return []
-    counts = rows.groupBy("url").count().where(F.col("count") >= hot_rows)
-    top = counts.orderBy(F.desc("count"), "url").limit(MAX_HOT_URLS)
-    return [row["url"] for row in top.collect()]
+    if rows.count() < config.hot_rows:
+        return None
+    counts = rows.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") >= config.hot_rows)
+    hot = scratch.write(counts.select("url", F.ceil(F.col("n") / config.hot_rows).alias("salts")), "hot")
+    return None if hot.isEmpty() else hot
 
 
-def lookup(requests: DataFrame, table: DataFrame, config: CrawlConfig, how: str = "inner") -> DataFrame:
+def lookup(
+    requests: DataFrame, table: DataFrame, config: CrawlConfig, scratch: Scratch, how: str = "inner"
+) -> DataFrame:
     """Join requests with a table that is bucketed by ``url``, whatever the requests' skew.
 
     Requests for ordinary URLs meet the buckets where they lie. URLs that very many
     crawls request at once go apart, spread over salts.
     """
-    hot = hot_urls(requests, config.hot_rows)
-    if not hot:
+    hot = hot_keys(requests, config, scratch)
+    if hot is None:
         return requests.join(table, "url", how)
-    is_hot = F.col("url").isin(hot)
-    cold = requests.where(~is_hot).join(table, "url", how)
-    salts = F.sequence(F.lit(0), F.lit(config.salts - 1))
-    salted_table = table.where(is_hot).withColumn("salt", F.explode(salts))
-    salted = requests.where(is_hot).withColumn(
-        "salt", F.pmod(F.xxhash64("crawl_id"), F.lit(config.salts)).cast("int")
-    )
-    return cold.unionByName(salted.join(salted_table, ["url", "salt"], how).drop("salt"))
+    cold = requests.join(hot, "url", "left_anti").join(table, "url", how)
+    salted = requests.join(hot, "url").withColumn("salt", F.pmod(F.xxhash64("crawl_id"), F.col("salts")))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))
+    salted_table = table.join(hot, "url").withColumn("salt", each).drop("salts")
+    return cold.unionByName(salted.join(salted_table, ["url", "salt"], how).drop("salt", "salts"))
 
 
 # --- graphs ---------------------------------------------------------------------------
@@ -89,18 +85,12 @@ def page_graph(
     """Parse the pages the crawls can reach and write them bucketed by URL.
 
     One pass over the markup yields text, titles and links. Where links must stay on
-    their base's host, pages of other hosts are left out before they are parsed.
+    their base's host, pages of other hosts are left out before they are parsed, unless
+    ``config.only_base_hosts`` is off. The result is the same either way.
     """
-    size = input_bytes(pages)
-    hosts = _base_hosts(seeds, scratch) if config.same_domain else None
-    if hosts is not None:
-        stored = pages
-        on_host = stored.withColumn("host", urls.netloc(F.col("url")))
-        pages = on_host.join(F.broadcast(hosts), "host", "left_semi").drop("host")
-        if size is not None and size > BUCKET_BYTES:
-            # Counting reads URLs alone and tells how much of the snapshot is left.
-            size = size * pages.count() // max(stored.count(), 1)
-    buckets = config.buckets or bucket_count(pages.sparkSession, size)
+    buckets = config.buckets or bucket_count(pages.sparkSession, input_bytes(pages))
+    if config.same_domain and config.only_base_hosts:
+        pages = _on_base_hosts(pages, seeds, scratch)
     error = fetch_error(pages, config)
     order = copy_order(pages)
     fetched = pages.select(
@@ -123,19 +113,21 @@ def page_graph(
     return LinkGraph(
         links=stored.where(F.col("error").isNull()).select("url", "links"),
         fetched=stored.select("url", "error"),
+        scratch=scratch,
         pages=stored.where(F.col("error").isNull()).select("url", "text", "heading"),
     )
 
 
-def _base_hosts(seeds: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Hosts the crawls start from or stay on, if they are few enough to broadcast.
+def _on_base_hosts(pages: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pages of the hosts the crawls start from or stay on; Spark chooses how to join.
 
-    With more of them, leaving other hosts out would mean to shuffle every page by its
-    host, so then all pages are parsed instead.
+    A base without a host lets links of every host pass, so then all pages stay.
     """
     bases = seeds.select(F.explode(F.array("url", "base_url")).alias("url"))
     hosts = scratch.write(bases.select(urls.netloc(F.col("url")).alias("host")).distinct(), "hosts")
-    return hosts if hosts.count() <= MAX_BROADCAST_HOSTS else None
+    if not hosts.where("host = ''").isEmpty():
+        return pages
+    return pages.withColumn("host", urls.netloc(F.col("url"))).join(hosts, "host", "left_semi").drop("host")
 
 
 def edge_graph(
@@ -151,14 +143,15 @@ def edge_graph(
     # Written first: the rows are counted, then placed, and their plan runs only once.
     rows = scratch.write(rows, "edges")
     buckets = config.buckets or bucket_count(edges.sparkSession, input_bytes(rows))
-    hot = hot_urls(rows, config.hot_rows)
+    hot = hot_keys(rows, config, scratch)
     heavy = None
-    if hot:
-        heavy = scratch.write(rows.where(F.col("url").isin(hot)), "heavy_links")
-        rows = rows.where(~F.col("url").isin(hot))
+    if hot is not None:
+        heavy = scratch.write(rows.join(hot, "url", "left_semi"), "heavy_links")
+        rows = rows.join(hot, "url", "left_anti")
     return LinkGraph(
         links=scratch.write_bucketed(rows.repartition(buckets, "url"), "links", "url", buckets),
         fetched=scratch.write_bucketed(one_each, "fetched", "url", buckets),
+        scratch=scratch,
         heavy=heavy,
     )
 
@@ -175,7 +168,7 @@ def seed_rows(seeds: DataFrame) -> DataFrame:
 def rejected_seeds(seeds: DataFrame) -> DataFrame:
     """Seeds that are refused before they count as visited."""
     return seeds.where(~urls.is_valid_url(F.col("url"))).select(
-        "crawl_id", "url", F.lit("Invalid URL provided").alias("error")
+        "crawl_id", "url", F.lit(INVALID_URL).alias("error")
     )
 
 
@@ -195,7 +188,7 @@ def _first_frontier(seeds: DataFrame, known: DataFrame | None, config: CrawlConf
 
 def _links_of(frontier: DataFrame, graph: LinkGraph, config: CrawlConfig) -> DataFrame:
     """Frontier rows with the links of their scraped pages that pass every rule."""
-    found = lookup(frontier.withColumn("base", lk.crawl_base(F.col("base_url"), config)), graph.links, config)
+    found = lookup(frontier.withColumn("base", lk.crawl_base(F.col("base_url"), config)), graph.links, config, graph.scratch)
     if graph.heavy is not None:
         # Neither side is bucketed here, so skewed partitions can be split at run time.
         heavy = frontier.join(graph.heavy, "url")
@@ -271,7 +264,7 @@ def traverse(
         rounds.append(frontier)
     visited = _union(rounds).drop("ord")
     stored = graph.fetched.withColumn("stored", F.lit(True))
-    checked = lookup(visited, stored, config, "left")
+    checked = lookup(visited, stored, config, scratch, "left")
     error = F.when(F.col("stored").isNull(), F.lit(MISSING_PAGE)).otherwise(F.col("error"))
     return scratch.write(
         checked.select(*visited.columns, error.isNull().alias("scraped"), error.alias("error")), "visited"
@@ -315,7 +308,7 @@ def page_nodes(scraped: DataFrame, graph: LinkGraph, config: CrawlConfig) -> Dat
 
     Rank or number the rows before, while they are narrow; further columns stay.
     """
-    found = lookup(scraped, graph.pages, config)
+    found = lookup(scraped, graph.pages, config, graph.scratch)
     named = found.withColumn("title", title(F.col("heading"), F.col("base_url")))
     return named.drop("heading", "base_url")
 

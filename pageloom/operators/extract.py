@@ -9,6 +9,7 @@ from pageloom.config import CrawlConfig, plain_config
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.operators.parse import parse_pages
+from pageloom.sources.snapshots import INVALID_URL
 
 
 def heading(h1: Column, title_tag: Column) -> Column:
@@ -27,20 +28,24 @@ def title(heading_: Column, base_url: Column) -> Column:
 
 
 def page_records(pages: DataFrame, config: CrawlConfig, base_url: Column | None = None) -> DataFrame:
-    """``url, text, title`` and the other input columns, for each page that parses.
+    """``url, text, title, error`` and the other input columns of each page.
 
-    Each page counts as its own base unless ``base_url`` names another.
+    Each page counts as its own base unless ``base_url`` names another. A page whose
+    markup is rejected keeps its row, with the ``error`` and neither text nor title.
     """
     parsed = parse_pages(pages, config.with_(menu_selectors=(), priority_selectors=()))
     base = F.col("url") if base_url is None else base_url
+    named = title(heading(F.col("h1"), F.col("title_tag")), base)
     return (
-        parsed.where(F.col("parse_error").isNull())
-        .withColumn("text", tx.clean_text(F.col("raw_text")))
-        .withColumn("title", title(heading(F.col("h1"), F.col("title_tag")), base))
-        .drop("raw_text", "h1", "title_tag", "anchors", "parse_error")
+        parsed.withColumn("text", tx.clean_text(F.col("raw_text")))
+        .withColumn("title", F.when(F.col("parse_error").isNull(), named))
+        .withColumnRenamed("parse_error", "error")
+        .drop("raw_text", "h1", "title_tag", "anchors")
     )
 
 
 def plain_pages(pages: DataFrame) -> DataFrame:
-    """Text alone, with only script and style dropped; invalid URLs give no row."""
-    return page_records(pages.where(urls.is_valid_url(F.col("url"))), plain_config()).drop("title")
+    """Text alone, with only script and style dropped; invalid URLs keep their row, with an ``error``."""
+    valid = urls.is_valid_url(F.col("url"))
+    read = page_records(pages.withColumn("html", F.when(valid, F.col("html"))), plain_config())
+    return read.drop("title").withColumn("error", F.when(~valid, INVALID_URL).otherwise(F.col("error")))

@@ -50,6 +50,19 @@ def page_text_plain(spark, sf_dir):
     return ex.plain_pages(pages_of(spark, sf_dir)).select("page_id", "url", "text")
 
 
+def page_failures(spark, sf_dir):
+    """Every fifth page under a URL without a scheme, every seventh with markup that cannot be read."""
+    bare = F.regexp_replace("url", "^[a-z]+://", "")
+    pages = pages_of(spark, sf_dir).withColumns(
+        {
+            "url": F.when(F.col("page_id") % 5 == 0, bare).otherwise(F.col("url")),
+            "html": F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("<![bad[x]]>"), "html")).otherwise(F.col("html")),
+        }
+    )
+    failed = ex.plain_pages(pages).where(F.col("error").isNotNull())
+    return failed.select("page_id", "url", F.substring_index("error", ":", 1).alias("error"))
+
+
 def page_title(spark, sf_dir):
     records = ex.page_records(pages_of(spark, sf_dir), docs_config())
     slug = ex.slug_title(F.col("url"))
@@ -389,7 +402,8 @@ def report_pages(spark, sf_dir):
 
 def _flat_content(spark, sf_dir) -> DataFrame:
     records = ex.page_records(pages_of(spark, sf_dir), docs_config())
-    return records.select(urls.netloc(F.col("url")).alias("crawl_id"), "url", "text")
+    read = records.where(F.col("error").isNull())
+    return read.select(urls.netloc(F.col("url")).alias("crawl_id"), "url", "text")
 
 
 def flat_text(spark, sf_dir):
@@ -412,6 +426,7 @@ QUERIES = {
     for query in (
         page_text,
         page_text_plain,
+        page_failures,
         page_title,
         clean_documents,
         ascii_documents,

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 100_000
 UNKNOWN_BYTES = 1 << 60
 
 
@@ -61,9 +60,12 @@ class Scratch:
     def write_bucketed(self, df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
         """Write ``df`` bucketed by ``key``, so that joins on it do not shuffle it again.
 
-        ``df`` should come out of a shuffle on ``key``, else every task writes to every
-        bucket.
+        ``df`` should come out of a shuffle on ``key``. A bucket then is one file where
+        ``buckets`` is a multiple of the shuffle partitions; for other numbers the rows are
+        shuffled into exactly ``buckets`` tasks first.
         """
+        if buckets % int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(buckets, key)
         name = self._next(label)
         table = f"pageloom_{self.run}_{name}"
         writer = df.write.format("parquet").bucketBy(buckets, key)
@@ -86,14 +88,11 @@ class Scratch:
 
 
 def bucket_count(spark: SparkSession, size: int | None) -> int:
-    """As many buckets of about ``BUCKET_BYTES`` as the data needs, and at least one per
-    core or shuffle partition, whichever are fewer. Unknown sizes get one bucket per
-    shuffle partition."""
+    """The multiple of the shuffle partitions that gives buckets of at most about
+    ``BUCKET_BYTES``. Unknown sizes get one bucket per shuffle partition."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if size is None:
-        return partitions
-    needed = min(math.ceil(size / BUCKET_BYTES), MAX_BUCKETS)
-    return max(needed, min(partitions, spark.sparkContext.defaultParallelism))
+    needed = 1 if size is None else math.ceil(size / BUCKET_BYTES)
+    return partitions * max(1, math.ceil(needed / partitions))
 
 
 def input_bytes(df: DataFrame) -> int | None:

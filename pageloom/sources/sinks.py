@@ -22,8 +22,8 @@ def write_blocks(blocks: DataFrame, order: list[str], folder: str) -> None:
 
 
 def write_plain_text(records: DataFrame, folder: str) -> None:
-    """Write the texts of pages in the order of their URLs."""
-    ordered = records.repartitionByRange("url").sortWithinPartitions("url")
+    """Write the texts of pages in the order of their URLs; failed pages have none."""
+    ordered = records.where(F.col("text").isNotNull()).repartitionByRange("url").sortWithinPartitions("url")
     ordered.select(F.col("text").alias("value")).write.mode("overwrite").text(folder)
 
 

@@ -19,25 +19,29 @@ PAGES_SCHEMA = T.StructType(
 SEEDS_SCHEMA = T.StructType(
     [T.StructField("crawl_id", T.StringType()), T.StructField("url", T.StringType())]
 )
+INVALID_URL = "Invalid URL provided"
 MISSING_PAGE = "Failed to fetch URL: no page stored"
 LAST_PAGE_ID = (1 << 63) - 1
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer partitions than there are cores.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Repartition a scan that has fewer than ``partitions``; None stands for the number of cores.
 
     A large scan has many splits already and stays as it is, so no page is shuffled
     at scale; a small file would otherwise be parsed by one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(partitions) if df.rdd.getNumPartitions() < partitions else df
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, html`` of a snapshot; ``status`` and ``timed_out`` too where present."""
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """``page_id, url, html`` of a snapshot; ``status`` and ``timed_out`` too where present.
+
+    It has at least ``partitions`` partitions; None stands for the number of cores.
+    """
     stored = spark.read.parquet(path)
     optional = [name for name in ("status", "timed_out") if name in stored.columns]
-    return spread(stored.select("page_id", "url", "html", *optional))
+    return spread(stored.select("page_id", "url", "html", *optional), partitions)
 
 
 def fetch_error(pages: DataFrame, config: CrawlConfig) -> Column:
@@ -53,10 +57,13 @@ def fetch_error(pages: DataFrame, config: CrawlConfig) -> Column:
 
 
 def copy_order(pages: DataFrame) -> Column:
-    """Rank of a stored copy among those of the same URL; the lowest one counts."""
-    if "page_id" in pages.columns:
-        return F.coalesce(F.col("page_id"), F.lit(LAST_PAGE_ID))
-    return F.xxhash64("html")
+    """Rank of a stored copy among those of the same URL; the lowest one counts.
+
+    Only copies that agree in all that is read of them tie.
+    """
+    first = F.col("page_id") if "page_id" in pages.columns else F.lit(None).cast("bigint")
+    state = [F.col(name) for name in ("status", "timed_out") if name in pages.columns]
+    return F.struct(F.coalesce(first, F.lit(LAST_PAGE_ID)), *state, F.sha2("html", 256))
 
 
 def is_retryable(status: Column) -> Column:
@@ -72,7 +79,7 @@ def page_lookup(requests: DataFrame, pages: DataFrame, config: CrawlConfig) -> D
         requests.join(stored, "url", "left")
         .withColumn(
             "error",
-            F.when(~urls.is_valid_url(F.col("url")), "Invalid URL provided")
+            F.when(~urls.is_valid_url(F.col("url")), INVALID_URL)
             .when(~hit, MISSING_PAGE)
             .otherwise(F.col("fetch_error")),
         )

@@ -57,7 +57,7 @@ def test_preorder_titles_and_text(deep):
         ("docs/api/ref", "", "D\nRéf & more \U0001f600\nend"),
         ("docs/api/ref/deep/er", "Deep", "Deepme"),
         ("docs/guide/", "Guide", "GuideUpIRead ref or q."),
-        ("docs/guide/intro", "Intro", "Intro\nOneTwoThree"),
+        ("docs/guide/intro", "Intro", "Intro OneTwoThree"),
     ]
 
 
@@ -128,7 +128,7 @@ def test_menu_profile_takes_every_selector(site_pages, site_seeds):
 def test_hot_urls_and_partitions_do_not_change_results(spark, site_pages):
     seeds = spark.createDataFrame([(f"c{i}", SITE + "docs/") for i in range(40)], SEEDS_SCHEMA)
     plain = crawl_site(site_pages, seeds, 3, CrawlConfig(links_from="raw"))
-    salted = crawl_site(site_pages, seeds, 3, CrawlConfig(links_from="raw", hot_rows=10, salts=4))
+    salted = crawl_site(site_pages, seeds, 3, CrawlConfig(links_from="raw", hot_rows=10))
     spark.conf.set("spark.sql.shuffle.partitions", "37")
     try:
         other = crawl_site(site_pages, seeds, 3, CrawlConfig(links_from="raw", buckets=5))
@@ -153,6 +153,48 @@ def test_repeated_pages_count_once(spark, site_pages, site_seeds):
     assert len(titles) == 5
 
 
+def test_a_base_without_a_host_keeps_pages_of_every_host(spark):
+    rows = [(1, "https://a.example/", '<a href="https://b.example/x">b</a>'), (2, "https://b.example/x", "<h1>B</h1>")]
+    pages = spark.createDataFrame(rows, PAGES_SCHEMA)
+    seeds = spark.createDataFrame([("c", "https://a.example/", "")], "crawl_id string, url string, base_url string")
+    settings = dict(menu_selectors=("a",), priority_selectors=(), prefix="off")
+    for only in (True, False):
+        crawl = crawl_site(pages, seeds, 1, CrawlConfig(only_base_hosts=only, **settings))
+        found = {(r["url"], r["scraped"]) for r in crawl.visited.collect()}
+        assert found == {("https://a.example/", True), ("https://b.example/x", True)}
+
+
+def test_buckets_are_single_files(spark, site_pages, site_seeds, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        scratch = cr.Scratch(spark)
+        for buckets in (6, 7, 12):
+            config = CrawlConfig(buckets=buckets)
+            graph = cr.page_graph(site_pages, cr.seed_rows(site_seeds), config, scratch)
+            assert 1 <= len(graph.links.inputFiles()) <= buckets
+            edges = site_pages.select(F.col("url").alias("src_url"), "url")
+            graph = cr.edge_graph(edges, site_pages.select("url"), config, scratch)
+            assert 1 <= len(graph.fetched.inputFiles()) <= buckets
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_hot_source_is_found_however_small_its_file_is(spark):
+    edges = spark.range(300_000).select(F.lit("https://e/r").alias("src_url"), F.lit("https://e/r/1").alias("url"))
+    graph = cr.edge_graph(edges, edges.select("url").distinct(), CrawlConfig(), cr.Scratch(spark))
+    assert graph.heavy is not None and graph.heavy.count() == 300_000
+
+
+def test_copies_with_tied_ids_give_one_title(spark, site_seeds):
+    rows = [(1, SITE + "docs/", f"<h1>Copy {i}</h1>") for i in range(8)]
+    titles = set()
+    for order in (rows, rows[::-1]):
+        for partitions in (1, 3, 8):
+            pages = spark.createDataFrame(order, PAGES_SCHEMA).repartition(partitions)
+            titles |= {r["title"] for r in crawl_site(pages, site_seeds, 0).nodes.collect()}
+    assert len(titles) == 1
+
+
 def test_heavy_sources_of_an_edge_graph(spark):
     edges = spark.createDataFrame(
         [("https://e/r", f"https://e/r/{i}") for i in range(50)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import PAGES, SITE
 from pageloom.config import MENU_SELECTORS, PAGE_DROP_TAGS, CrawlConfig, docs_config
+from pageloom.functions import urls
 from pageloom.functions.markup import PageReader, compile_selector
 from pageloom.operators import extract as ex
 from pageloom.operators import links as lk
@@ -78,7 +79,21 @@ def test_plain_profile_of_one_page(spark):
     )
     pages = spark.createDataFrame([(1, SITE, html), (2, "invalid-url", html)], PAGES_SCHEMA)
     rows = ex.plain_pages(pages).collect()
-    assert [row["text"] for row in rows] == ["Test Title\nTest paragraph 1\nTest paragraph 2\nn"]
+    assert [row["text"] for row in rows] == ["Test Title\nTest paragraph 1\nTest paragraph 2\nn", None]
+    assert [row["error"] for row in rows] == [None, "Invalid URL provided"]
+
+
+def test_rejected_pages_keep_their_row(spark):
+    pages = spark.createDataFrame([(1, SITE + "a", "<p>x"), (2, SITE + "b", "<![bad[x]]>")], PAGES_SCHEMA)
+    rows = ex.page_records(pages, docs_config()).orderBy("page_id").collect()
+    assert [(row["text"], row["title"]) for row in rows] == [("x", "A"), (None, None)]
+    assert rows[0]["error"] is None and rows[1]["error"].startswith("Page markup rejected: ")
+
+
+def test_siblings_of_any_depth_are_ordered(spark):
+    deep = [SITE + "/".join("x" * n) for n in (10_001, 10_007, 2)]
+    rows = spark.createDataFrame([(u,) for u in deep], "url string").orderBy(urls.sort_key(F.col("url"))).collect()
+    assert [row["url"] for row in rows] == [deep[1], deep[0], deep[2]]
 
 
 def test_titles_fall_back_to_the_base_url(spark):

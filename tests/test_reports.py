@@ -89,8 +89,7 @@ world
     URL: https://d.example/docs/guide/intro
     {RULE}
 
-    Intro
-    OneTwoThree
+    Intro OneTwoThree
 
 """.replace("@", ""),
     "two": f"""
@@ -107,8 +106,7 @@ GuideUpIRead ref or q.
   URL: https://d.example/docs/guide/intro
   {RULE}
 
-  Intro
-  OneTwoThree
+  Intro OneTwoThree
 
 """,
 }
@@ -208,6 +206,12 @@ def test_plain_sink(spark, site_pages, tmp_path):
     assert written == "".join(row["text"] + "\n" for row in records.orderBy("url").collect())
 
 
+def test_ordinals_of_a_null_group(spark):
+    rows = spark.createDataFrame([(None, "a"), ("g", "a"), (None, "b")], "g string, k string")
+    numbered = with_ordinal(rows, ["g"], ["k"], "n", Scratch(spark)).collect()
+    assert {tuple(row) for row in numbered} == {(None, "a", 1), (None, "b", 2), ("g", "a", 1)}
+
+
 def test_ordinals_of_a_group_that_fills_every_partition(spark):
     rows = spark.range(0, 5000, numPartitions=5).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"),
