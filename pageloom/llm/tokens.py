@@ -2,16 +2,22 @@
 
 A byte-level BPE merges within pieces only, and a piece's ids do not depend on its
 neighbours. So a text is cut into pieces as the file's own rule says, and the library is
-asked once for each new piece. Texts with characters outside a plain set (where other
-libraries might class a character differently), and files with another rule, go to the
-library whole; the ids are the same either way. The memory is cleared when it is full.
+asked once for each new piece. Characters outside a plain set might be classed differently
+by another library, so stretches that hold one go to the library as they are, from one
+single space between words to another; pieces never cross such a space. Files with another
+rule go to the library whole. The ids are the same either way.
+
+The memory has two generations. A full young one becomes the old one, whose pieces come
+back when they are met again, so that frequent pieces stay and rare ones go.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -22,7 +28,8 @@ PLAIN = re.compile(rf"[\t\n\r\x20-\x7e¡-¿×÷‐-‧{LETTERS}]*")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 LOWERED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-MEMORY = 150_000  # pieces
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
+MEMORY = 100_000  # pieces of a generation
 
 
 def byte_table() -> dict[int, str]:
@@ -32,19 +39,31 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Piece to its ids as bytes, filled by the library."""
-
-    def __init__(self, model, dtype: str):
-        super().__init__()
-        self.model, self.dtype, self.table = model, dtype, byte_table()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
-        ids = np.array([t.id for t in self.model.tokenize(shown)], dtype=self.dtype).tobytes()
-        self[piece] = ids
+class Pieces:
+    """Pieces to their ids as bytes, filled by the library."""
+
+    def __init__(self, model, wide: bool):
+        self.model, self.kind, self.table = model, "I" if wide else "H", byte_table()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, found: list[str]) -> bytes:
+        """Ids of the pieces, one after the other."""
+        ids = list(map(self.young.get, found))
+        if None in ids:
+            for i, piece in enumerate(found):
+                if ids[i] is None:
+                    ids[i] = self.young.get(piece) or self._learned(piece)
+        return b"".join(ids)
+
+    def _learned(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
+            ids = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self.young) >= MEMORY:
+            self.old, self.young = self.young, {}
+        self.young[piece] = ids
         return ids
 
 
@@ -58,7 +77,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.size = self.library.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.pieces = Pieces(self.library.model, self.dtype)
+        self.pieces = Pieces(self.library.model, self.dtype == "<u4")
         before, normal = config["pre_tokenizer"] or {}, config["normalizer"]
         steps = [x["type"] for x in (normal or {}).get("normalizers", [])]
         self.lower = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]
@@ -68,11 +87,23 @@ class Encoder:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=self.dtype)
-        if self.rule is None or not PLAIN.fullmatch(text):
-            text = text.encode("utf-8", "replace").decode("utf-8")
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        if self.rule is None:
+            return self._by_library(text)
+        if PLAIN.fullmatch(text):
+            return self._by_pieces(text)
+        parts = []
+        for plain, words in groupby(BETWEEN_WORDS.split(text), lambda w: PLAIN.fullmatch(w) is not None):
+            stretch = (" " if parts else "") + " ".join(words)
+            parts.append(self._by_pieces(stretch) if plain else self._by_library(stretch))
+        return np.concatenate(parts)
+
+    def _by_pieces(self, text: str) -> np.ndarray:
         found = self.rule.findall(text.lower() if self.lower else text)
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), dtype=self.dtype)
+        return np.frombuffer(self.pieces.encode(found), dtype=self.dtype)
+
+    def _by_library(self, text: str) -> np.ndarray:
+        text = text.encode("utf-8", "replace").decode("utf-8")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)
