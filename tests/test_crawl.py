@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PAGES, SITE
+from small_site import PAGES, SITE
 from pageloom import CrawlConfig, crawl_site, menu_config
 from pageloom.operators import crawl as cr
 from pageloom.operators import tree as tr

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import PAGES, SITE
+from small_site import PAGES, SITE
 from pageloom.config import MENU_SELECTORS, PAGE_DROP_TAGS, CrawlConfig, docs_config
 from pageloom.functions import urls
 from pageloom.functions.markup import PageReader, compile_selector

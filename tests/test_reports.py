@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SITE
+from small_site import SITE
 from pageloom import crawl_site, write_outputs
 from pageloom.config import menu_config
 from pageloom.operators import extract as ex
