@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontaminate, language, packing, quality, secrets, shards, simhash, urlfilter, warc, wavelet
+from pageloom.llm import decontaminate, language, nbsvm, orchard, packing, quality, secrets, shards, simhash, urlfilter, variants, warc, wavelet
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -16,12 +16,16 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold():
+    """0 to 2, from the identifier; rows of fold 1 are held out of training."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3
+
+
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    model = language.fit(docs.where((fold != 1) & F.col("lang").isNotNull()))
+    model = language.fit(docs.where((fold() != 1) & F.col("lang").isNotNull()))
     found = language.identify(docs, model)
-    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -74,14 +78,56 @@ def op10_packing(spark, sf_dir):
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels").where(fold() != 1))
+    held_out = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+    return nbsvm.rate(docs, model).select("doc_id", held_out, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_url_filter, op3_quality_rules, op4_sharding, op5_decontamination, op6_secret_scan, op7_simhash, op8_warc, op9_token_output, op10_packing)
+    for f in (
+        op1_language_id, op2_url_filter, op3_quality_rules, op4_sharding, op5_decontamination, op6_secret_scan, op7_simhash,
+        op8_warc, op9_token_output, op10_packing, op11_centroid_clustering, op12_spelling_variants, op13_quality_classifier,
+    )
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
+_ROUND = """
+a{0} AS MATERIALIZED (
+  SELECT rid, min(d * 8 + c) AS best FROM (
+    SELECT rid, c, sum((x - y) * (x - y)) AS d FROM long JOIN c{0} USING (pos) GROUP BY rid, c) GROUP BY rid),
+c{1} AS MATERIALIZED (
+  SELECT c, pos, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{0} LEFT JOIN (
+    SELECT CAST(best % 8 AS INTEGER) AS c, pos, sum(x) AS s, count(*) AS n FROM long JOIN a{0} USING (rid) GROUP BY ALL) USING (c, pos)),"""
+
 ORACLES = {
+    "op11_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+long AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(64)) AS pos FROM kept),
+c0 AS MATERIALIZED (
+  SELECT CAST(number - 1 AS INTEGER) AS c, unnest(v) AS y, unnest(range(64)) AS pos FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) AS number FROM kept) WHERE number <= 8),
+{"".join(_ROUND.format(i, i + 1) for i in range(10))}
+last AS (
+  SELECT rid, CAST(min(d * 8 + c) % 8 AS INTEGER) AS cluster, CAST(min(d * 8 + c) // 8 AS BIGINT) AS distance FROM (
+    SELECT rid, c, sum((x - y) * (x - y)) AS d FROM long JOIN c10 USING (pos) GROUP BY rid, c) GROUP BY rid),
+named AS (SELECT c AS cluster, sha256(string_agg(CAST(y AS BIGINT)::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c10 GROUP BY c)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM last JOIN kept USING (rid) JOIN named USING (cluster)""",
     "op2_url_filter": f"""
 WITH rules(rule_host, rule_path, action) AS (VALUES {_RULE_VALUES}),
 parts AS (
