@@ -114,8 +114,8 @@ c{1} AS MATERIALIZED (
 ORACLES = {
     "op11_centroid_clustering": f"""
 WITH kept AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 long AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(64)) AS pos FROM kept),
 c0 AS MATERIALIZED (
   SELECT CAST(number - 1 AS INTEGER) AS c, unnest(v) AS y, unnest(range(64)) AS pos FROM (
