@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import slices, written
+from pageloom.sources.scratch import Scratch
 
 GROUPS = 32
 LETTERS = [c for c in range(256) if chr(c) in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" or c >= 0xC0]
@@ -58,7 +59,7 @@ class VariantSettings:
     block: int = 24_000  # words of a trie block
     visitors: int = 96_000  # visitors of a cell
     batch: int = 16_384  # visitors searched together
-    leaf: int = 6  # words of a node that is not divided any more
+    leaf: int = 64  # words of a node that is not divided any more
     most_levels: int = 8  # of a head
 
 
@@ -183,7 +184,9 @@ class Trie:
         at = np.lexsort(counts.T[::-1])
         self.words, self.n = [words[i] for i in at], np.array(n, dtype=np.int64)[at]
         self.counts, self.order, self.leaf = counts[at].astype(np.int16) if counts.max(initial=0) < 1 << 14 else counts[at], order, s.leaf
-        self.points = padded(self.words)
+        self.points, self.odd = padded(self.words), parities(self.counts)
+        self.ends = ends(self.words, self.points, s.min_points // 2)
+        self.shared = s.min_points // 2
 
     def search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(visitor, row) of the pairs of words at distance one."""
@@ -201,6 +204,7 @@ class Visit:
     def __init__(self, trie: Trie, words: list[str]):
         self.trie, self.words, self.points = trie, words, padded(words)
         self.counts = vectors(words)[:, trie.order].astype(trie.counts.dtype)
+        self.odd, self.ends = parities(self.counts), ends(words, self.points, trie.shared)
         self.candidates: list[tuple[np.ndarray, np.ndarray]] = []
         self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         self.held = 0
@@ -210,8 +214,7 @@ class Visit:
         if hi - lo <= self.trie.leaf or level == GROUPS:
             step = max(1, PAIRS // (hi - lo))
             for at in range(0, len(rows), step):
-                part = slice(at, at + step)
-                self.leaf(lo, hi, level, rows[part], surplus[part], deficit[part])
+                self.leaf(lo, hi, rows[at : at + step])
             return
         column = self.trie.counts[lo:hi, level]
         starts = np.flatnonzero(np.diff(column)) + 1
@@ -224,20 +227,26 @@ class Visit:
             if len(on):
                 self.descend(a, b, level + 1, rows[on], more[on], less[on])
 
-    def leaf(self, lo: int, hi: int, level: int, rows: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> None:
-        gap = self.trie.counts[None, lo:hi, level:] - self.counts[rows, None, level:]
-        fits = (np.maximum(gap, 0).sum(axis=2) <= surplus[:, None]) & (np.maximum(-gap, 0).sum(axis=2) <= deficit[:, None])
-        i, j = np.nonzero(fits)
-        if len(i):
-            self.candidates.append((rows[i], lo + j))
-            self.held += len(i)
+    def leaf(self, lo: int, hi: int, rows: np.ndarray) -> None:
+        """Pairs whose counts are odd in the same groups but for the two that the budgets allow, and
+        whose beginnings or ends agree, as one of them lies beyond the place where near words differ."""
+        i, j = np.nonzero(np.bitwise_count(self.odd[rows, None] ^ self.trie.odd[None, lo:hi]) <= 2)
+        i, j = rows[i], lo + j
+        (begins, closes), (others, other_closes) = self.ends, self.trie.ends
+        on = (begins[i] == others[j]) | (closes[i] == other_closes[j])
+        if on.any():
+            self.candidates.append((i[on], j[on]))
+            self.held += int(on.sum())
             if self.held >= PAIRS:
                 self.verify()
 
     def verify(self) -> None:
+        """First whole frequency vectors, then code points."""
         a, b = (np.concatenate(x) for x in zip(*self.candidates))
-        self.found.append(verified(self.words, self.points, a, self.trie.words, self.trie.points, b))
         self.candidates, self.held = [], 0
+        gap = self.trie.counts[b] - self.counts[a]
+        on = (np.maximum(gap, 0).sum(axis=1) <= 1) & (np.minimum(gap, 0).sum(axis=1) >= -1)
+        self.found.append(verified(self.words, self.points, a[on], self.trie.words, self.trie.points, b[on]))
 
     def near(self) -> tuple[np.ndarray, np.ndarray]:
         if self.held:
@@ -246,6 +255,22 @@ class Visit:
         return a, b
 
 
+def parities(counts: np.ndarray) -> np.ndarray:
+    """A bit for each group with an odd count."""
+    return ((counts & 1).astype(np.uint32) << np.arange(GROUPS, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+
+
+def ends(words: list[str], points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last ``n`` code points of each word."""
+    begins, closes = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    last = np.array([[ord(c) for c in w[len(w) - n :]] for w in words], dtype=np.uint64).reshape(len(words), n) if n and size.max(initial=0) > WIDE else None
+    for k in range(n):
+        begins = begins * np.uint64(0x9E3779B97F4A7C15) + points[:, k]
+        closes = closes * np.uint64(0x9E3779B97F4A7C15) + (points[np.arange(len(words)), size - n + k] if last is None else last[:, k])
+    return begins, closes
+
+
 def padded(words: list[str]) -> np.ndarray:
     """Code points of the words, one row each, zeros behind; longer ones than WIDE are cut."""
     shown = np.array([w[: WIDE + 1] for w in words], dtype=f"<U{WIDE + 1}")
@@ -254,7 +279,7 @@ def padded(words: list[str]) -> np.ndarray:
 
 def verified(words: list[str], points: np.ndarray, a: np.ndarray, others: list[str], other_points: np.ndarray, b: np.ndarray):
     """The pairs that differ by exactly one inserted, deleted or replaced code point."""
-    keep = []
+    keep = [np.zeros(0, dtype=bool)]
     size, other_size = np.fromiter(map(len, words), np.int64, len(words)), np.fromiter(map(len, others), np.int64, len(others))
     for at in range(0, len(a), 1 << 16):
         i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
@@ -310,18 +335,18 @@ def links(words: DataFrame, order: list[int], s: VariantSettings) -> DataFrame:
     blocks = living.join(coming, "head").select(
         "head", F.ceil(F.col("n_words") / s.block).cast("int").alias("blocks"), F.ceil(F.col("n_visitors") / s.visitors).cast("int").alias("turns")
     )
-    blocks = written(blocks, "heads")
+    blocks = Scratch(words.sparkSession).write_ordered(blocks, "heads", ["head"]).withColumnRenamed("ord", "cell")
     draw = F.xxhash64("word")
 
     def each(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    residents = words.join(blocks, "head").select("head", F.pmod(draw, F.col("blocks")).cast("int").alias("block"), each("turns").alias("turn"), F.lit(0).alias("role"), "word", "n")
+    residents = words.join(blocks, "head").select("cell", F.pmod(draw, F.col("blocks")).cast("int").alias("block"), each("turns").alias("turn"), F.lit(0).alias("role"), "word", "n")
     visits = words.select("word", "n", F.posexplode(F.array(*sums)).alias("step", "head"))
     visitors = visits.join(blocks, "head").select(
-        "head", each("blocks").alias("block"), F.pmod(draw, F.col("turns")).cast("int").alias("turn"), F.when(F.col("step") == 0, 1).otherwise(2).alias("role"), "word", "n"
+        "cell", each("blocks").alias("block"), F.pmod(draw, F.col("turns")).cast("int").alias("turn"), F.when(F.col("step") == 0, 1).otherwise(2).alias("role"), "word", "n"
     )
-    cells = residents.unionByName(visitors).repartition("head", "block", "turn").sortWithinPartitions("head", "block", "turn", "role")
+    cells = residents.unionByName(visitors).repartition("cell", "block", "turn").sortWithinPartitions("cell", "block", "turn", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, trie, block, waiting = None, None, ([], []), {1: ([], []), 2: ([], [])}
@@ -343,14 +368,17 @@ def links(words: DataFrame, order: list[int], s: VariantSettings) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["word", "near", "near_n"])
 
         for batch in batches:
-            where = zip(*(batch.column(x).to_pylist() for x in ("head", "block", "turn")))
-            for at, role, word, n in zip(where, *(batch.column(x).to_pylist() for x in ("role", "word", "n"))):
+            keys = np.stack([batch.column(x).to_numpy() for x in ("cell", "block", "turn", "role")])
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            names, n = batch.column("word").to_pylist(), batch.column("n").to_pylist()
+            for lo, hi in zip(edges, edges[1:]):  # rows of one cell and role
+                *at, role = keys[:, lo].tolist()
                 if at != cell:
                     yield from found(1)
                     yield from found(2)
                     cell, trie, block = at, None, ([], [])
                 to = waiting[role] if role else block
-                to[0].append(word), to[1].append(n)
+                to[0].extend(names[lo:hi]), to[1].extend(n[lo:hi])
                 if role and len(to[0]) >= s.batch:
                     yield from found(role)
         yield from found(1)
