@@ -69,6 +69,8 @@ class CrawlConfig:
     only_base_hosts: bool = True
     # A URL requested by this many frontier rows is joined apart, in parts of about this many rows.
     hot_rows: int = 200_000
+    # Crawls at least this deep number all URLs first, and their rounds shuffle longs alone.
+    numbered_from_depth: int = 3
     # Buckets of the written page table; None derives them from the input's size.
     buckets: int | None = None
 

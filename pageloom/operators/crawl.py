@@ -9,7 +9,7 @@ allow, reduce them to one row per URL, take away what is known, and write the re
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pageloom.config import CrawlConfig
 from pageloom.functions import text as tx
 from pageloom.functions import urls
 from pageloom.operators import links as lk
+from pageloom.operators import numbered as nb
 from pageloom.operators.extract import heading, title
 from pageloom.operators.parse import parse_pages
 from pageloom.sources.scratch import Scratch, bucket_count, input_bytes
@@ -45,35 +46,35 @@ class LinkGraph:
 # --- hot keys -------------------------------------------------------------------------
 
 
-def hot_keys(rows: DataFrame, config: CrawlConfig, scratch: Scratch) -> DataFrame | None:
-    """URLs that occur in ``hot_rows`` rows or more, with as many ``salts`` as they hold
+def hot_keys(rows: DataFrame, config: CrawlConfig, scratch: Scratch, key: str = "url") -> DataFrame | None:
+    """URLs (or ids) that occur in ``hot_rows`` rows or more, with as many ``salts`` as they hold
     times that number; None where there are none.
 
     They stay a table, however many there are, and nothing is collected.
     """
     if rows.count() < config.hot_rows:
         return None
-    counts = rows.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") >= config.hot_rows)
-    hot = scratch.write(counts.select("url", F.ceil(F.col("n") / config.hot_rows).alias("salts")), "hot")
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= config.hot_rows)
+    hot = scratch.write(counts.select(key, F.ceil(F.col("n") / config.hot_rows).alias("salts")), "hot")
     return None if hot.isEmpty() else hot
 
 
 def lookup(
-    requests: DataFrame, table: DataFrame, config: CrawlConfig, scratch: Scratch, how: str = "inner"
+    requests: DataFrame, table: DataFrame, config: CrawlConfig, scratch: Scratch, how: str = "inner", key: str = "url", spread: str = "crawl_id"
 ) -> DataFrame:
-    """Join requests with a table that is bucketed by ``url``, whatever the requests' skew.
+    """Join requests with a table that is bucketed by ``key``, whatever the requests' skew.
 
     Requests for ordinary URLs meet the buckets where they lie. URLs that very many
     crawls request at once go apart, spread over salts.
     """
-    hot = hot_keys(requests, config, scratch)
+    hot = hot_keys(requests, config, scratch, key)
     if hot is None:
-        return requests.join(table, "url", how)
-    cold = requests.join(hot, "url", "left_anti").join(table, "url", how)
-    salted = requests.join(hot, "url").withColumn("salt", F.pmod(F.xxhash64("crawl_id"), F.col("salts")))
+        return requests.join(table, key, how)
+    cold = requests.join(hot, key, "left_anti").join(table, key, how)
+    salted = requests.join(hot, key).withColumn("salt", F.pmod(F.xxhash64(spread), F.col("salts")))
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))
-    salted_table = table.join(hot, "url").withColumn("salt", each).drop("salts")
-    return cold.unionByName(salted.join(salted_table, ["url", "salt"], how).drop("salt", "salts"))
+    salted_table = table.join(hot, key).withColumn("salt", each).drop("salts")
+    return cold.unionByName(salted.join(salted_table, [key, "salt"], how).drop("salt", "salts"))
 
 
 # --- graphs ---------------------------------------------------------------------------
@@ -172,11 +173,14 @@ def rejected_seeds(seeds: DataFrame) -> DataFrame:
     )
 
 
-def _first_frontier(seeds: DataFrame, known: DataFrame | None, config: CrawlConfig) -> DataFrame:
+def _starts(seeds: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Seeds to begin with: valid, once a crawl and URL, and not known."""
     start = seeds.where(urls.is_valid_url(F.col("url")))
     start = start.groupBy(*KEY).agg(F.min("base_url").alias("base_url"))
-    if known is not None:
-        start = start.join(known, KEY, "left_anti")
+    return start if known is None else start.join(known, KEY, "left_anti")
+
+
+def _first_frontier(start: DataFrame, config: CrawlConfig) -> DataFrame:
     return start.select(
         *KEY,
         F.lit(0).alias("level"),
@@ -253,7 +257,31 @@ def traverse(
     visited again nor expanded. A failed page stays visited but leads nowhere.
     """
     known = None if known is None else known.select(*KEY)
-    frontier = _write_frontier(_first_frontier(seeds, known, config), "crawl_id", scratch)
+    if numbers_urls(seeds, max_depth, config):
+        by_id = partial(lookup, config=config, scratch=scratch, key="id", spread="crawl")
+        start = scratch.write(_starts(seeds, known), "starts")
+        rounds = nb.walk(graph.links, graph.heavy, start, known, max_depth, config, scratch, by_id)
+    else:
+        rounds = _rounds(seeds, graph, max_depth, config, scratch, known)
+    visited = _union(rounds).drop("ord")
+    stored = graph.fetched.withColumn("stored", F.lit(True))
+    checked = lookup(visited, stored, config, scratch, "left")
+    error = F.when(F.col("stored").isNull(), F.lit(MISSING_PAGE)).otherwise(F.col("error"))
+    return scratch.write(
+        checked.select(*visited.columns, error.isNull().alias("scraped"), error.alias("error")), "visited"
+    )
+
+
+def numbers_urls(seeds: DataFrame, max_depth: int, config: CrawlConfig) -> bool:
+    """Whether the traversal pays for a dictionary, which saves shuffled strings in every round."""
+    return max_depth >= config.numbered_from_depth and nb.applies(seeds, config)
+
+
+def _rounds(
+    seeds: DataFrame, graph: LinkGraph, max_depth: int, config: CrawlConfig, scratch: Scratch, known: DataFrame | None
+) -> list[DataFrame]:
+    """Levels of a traversal that keeps URLs as they are."""
+    frontier = _write_frontier(_first_frontier(_starts(seeds, known), config), "crawl_id", scratch)
     rounds = [frontier]
     for _ in range(max_depth):
         seen = _union([r.select(*KEY) for r in rounds] + ([] if known is None else [known]))
@@ -262,13 +290,7 @@ def traverse(
         if frontier.isEmpty():
             break
         rounds.append(frontier)
-    visited = _union(rounds).drop("ord")
-    stored = graph.fetched.withColumn("stored", F.lit(True))
-    checked = lookup(visited, stored, config, scratch, "left")
-    error = F.when(F.col("stored").isNull(), F.lit(MISSING_PAGE)).otherwise(F.col("error"))
-    return scratch.write(
-        checked.select(*visited.columns, error.isNull().alias("scraped"), error.alias("error")), "visited"
-    )
+    return rounds
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

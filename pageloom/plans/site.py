@@ -15,6 +15,7 @@ from pageloom.operators import report as rp
 from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
 from pageloom.sources import sinks
+from pageloom.sources.journal import Journal, fingerprint
 from pageloom.sources.scratch import Scratch
 
 FORMATS = {"text": ("text",), "pdf": ("pdf",), "json": ("json",), "both": ("text", "pdf", "json")}
@@ -79,15 +80,22 @@ def crawl_site(
     config: CrawlConfig | None = None,
     known: DataFrame | None = None,
     strict: bool = False,
+    journal: str | None = None,
 ) -> SiteCrawl:
     """Crawl stored pages from ``seeds(crawl_id, url[, base_url])`` to ``max_depth``.
 
     ``pages`` has ``url, html`` and may have ``page_id, status, timed_out``. ``known``
-    lists pages visited by earlier runs. With ``strict`` a failed seed raises.
+    lists pages visited by earlier runs. With ``strict`` a failed seed raises. ``journal``
+    names a folder that keeps what a run has finished: the same call made again, also with
+    a greater depth, goes on from there.
     """
     config = config or CrawlConfig()
-    scratch = Scratch(pages.sparkSession)
     seeds = cr.seed_rows(seeds)
+    if journal is None:
+        scratch = Scratch(pages.sparkSession)
+    else:
+        numbered = cr.numbers_urls(seeds, max_depth, config)
+        scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, pages, seeds, known))
     try:
         graph = cr.page_graph(pages, seeds, config, scratch)
         visited = cr.traverse(seeds, graph, max_depth, config, scratch, known)

@@ -53,26 +53,46 @@ class Scratch:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         """Write ``df`` once and return it as a scan."""
-        path = f"{self.folder}/{self._next(label)}"
-        df.write.parquet(path)
+        name = self._next(label)
+        path = f"{self.folder}/{name}"
+        if not self._finished(name):
+            df.write.parquet(path)
+            self._publish(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def write_bucketed(self, df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    def write_bucketed(self, df: DataFrame, label: str, key: str | list[str], buckets: int, options: dict[str, str] | None = None) -> DataFrame:
         """Write ``df`` bucketed by ``key``, so that joins on it do not shuffle it again.
 
         ``df`` should come out of a shuffle on ``key``. A bucket then is one file where
         ``buckets`` is a multiple of the shuffle partitions; for other numbers the rows are
         shuffled into exactly ``buckets`` tasks first.
         """
-        if buckets % int(self.spark.conf.get("spark.sql.shuffle.partitions")):
-            df = df.repartition(buckets, key)
+        keys = [key] if isinstance(key, str) else key
         name = self._next(label)
-        table = f"pageloom_{self.run}_{name}"
-        writer = df.write.format("parquet").bucketBy(buckets, key)
-        writer.option("path", f"{self.folder}/{name}").saveAsTable(table)
+        path, table = f"{self.folder}/{name}", f"pageloom_{self.run}_{name}"
+        if self._finished(name):
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+            by = ", ".join(f"`{k}`" for k in keys)
+            self.spark.sql(f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({by}) INTO {self._buckets(name)} BUCKETS LOCATION '{path}'")
+        else:
+            if buckets % int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+                df = df.repartition(buckets, *keys)
+            writer = df.write.format("parquet").options(**(options or {})).bucketBy(buckets, *keys)
+            writer.option("path", path).saveAsTable(table)
+            self._publish(name, buckets)
         self.tables.append(table)
         return self.spark.table(table).select(*df.columns)
 
+    def _finished(self, name: str) -> bool:
+        """Whether an earlier run has written this table; a journal knows."""
+        return False
+
+    def _publish(self, name: str, buckets: int | None = None) -> None:
+        """Called once a table is complete."""
+
+    def _buckets(self, name: str) -> int:
+        raise KeyError(name)
+
     def release(self) -> None:
         """Take the bucketed tables out of the catalog; their files stay readable."""
         while self.tables:
