@@ -187,6 +187,7 @@ def _first_frontier(start: DataFrame, config: CrawlConfig) -> DataFrame:
         F.lit(None).cast("string").alias("parent_url"),
         _own_key(config).alias("path"),
         "base_url",
+        F.lit(None).cast("bigint").alias("parent_ord"),
     )
 
 
@@ -197,7 +198,7 @@ def _links_of(frontier: DataFrame, graph: LinkGraph, config: CrawlConfig) -> Dat
         # Neither side is bucketed here, so skewed partitions can be split at run time.
         heavy = frontier.join(graph.heavy, "url")
         found = found.unionByName(heavy.withColumn("base", lk.crawl_base(F.col("base_url"), config)))
-    kept = [name for name in frontier.columns if name not in ("path", "parent_url", "base_url")]
+    kept = [name for name in frontier.columns if name not in ("path", "parent_url", "base_url", "parent_ord")]
     exploded = found.select(*kept, "base", F.explode("links").alias("link"))
     return exploded.where(lk.passes_crawl_rules(F.col("link"), F.col("base"), config)).drop("base")
 
@@ -240,7 +241,17 @@ def _write_frontier(found: DataFrame, order: str, scratch: Scratch) -> DataFrame
     Parents are ordered already, so this sorts by a long and one string, not by paths.
     """
     keyed = found.withColumn("own_key", F.element_at("path", -1))
-    return scratch.write_ordered(keyed, "frontier", [order, "own_key"], ("own_key", "parent_ord"))
+    return scratch.write_ordered(keyed, "frontier", [order, "own_key"], ("own_key",))
+
+
+@dataclass(frozen=True)
+class Traversal:
+    """``visited`` has ``crawl_id, url, level, parent_url, path, base_url, scraped, error``. ``tree``
+    has the scraped ones with ``ord``, a long that rises with the order of the tree within a
+    level, and ``parent_ord``, that of the parent in the level above."""
+
+    visited: DataFrame
+    tree: DataFrame
 
 
 def traverse(
@@ -251,7 +262,19 @@ def traverse(
     scratch: Scratch,
     known: DataFrame | None = None,
 ) -> DataFrame:
-    """Visited pages: ``crawl_id, url, level, parent_url, path, base_url, scraped, error``.
+    """``visited`` of a traversal."""
+    return traversal(seeds, graph, max_depth, config, scratch, known).visited
+
+
+def traversal(
+    seeds: DataFrame,
+    graph: LinkGraph,
+    max_depth: int,
+    config: CrawlConfig,
+    scratch: Scratch,
+    known: DataFrame | None = None,
+) -> Traversal:
+    """Visit the pages that ``seeds`` lead to, level by level.
 
     ``known(crawl_id, url)`` holds pages that earlier runs visited; they are neither
     visited again nor expanded. A failed page stays visited but leads nowhere.
@@ -263,13 +286,15 @@ def traverse(
         rounds = nb.walk(graph.links, graph.heavy, start, known, max_depth, config, scratch, by_id)
     else:
         rounds = _rounds(seeds, graph, max_depth, config, scratch, known)
-    visited = _union(rounds).drop("ord")
+    visited = _union(rounds)
     stored = graph.fetched.withColumn("stored", F.lit(True))
     checked = lookup(visited, stored, config, scratch, "left")
     error = F.when(F.col("stored").isNull(), F.lit(MISSING_PAGE)).otherwise(F.col("error"))
-    return scratch.write(
+    written = scratch.write(
         checked.select(*visited.columns, error.isNull().alias("scraped"), error.alias("error")), "visited"
     )
+    tree = written.where("scraped").drop("scraped", "error")
+    return Traversal(written.drop("ord", "parent_ord"), tree)
 
 
 def numbers_urls(seeds: DataFrame, max_depth: int, config: CrawlConfig) -> bool:

@@ -163,7 +163,7 @@ def next_level(level: DataFrame, visited: DataFrame, graph: NumberedGraph, looku
 
 
 def named_levels(levels: list[DataFrame], crawls: DataFrame, seeds: DataFrame, graph: NumberedGraph, config: CrawlConfig, scratch: Scratch) -> list[DataFrame]:
-    """Levels with ``crawl_id, url, level, parent_url, path, base_url``, from the top down."""
+    """Levels with ``crawl_id, url, level, parent_url, path, base_url, parent_ord, ord``, from the top down."""
     key = F.array(urls.sort_key(F.col("url"), config.sort_by_depth))
     out: list[DataFrame] = []
     for depth, level in enumerate(levels):
@@ -171,17 +171,17 @@ def named_levels(levels: list[DataFrame], crawls: DataFrame, seeds: DataFrame, g
         if not depth:
             bases = seeds.join(crawls, "crawl_id").select("crawl", "crawl_id", "url", "base_url")
             rows = rows.join(bases, ["crawl", "url"]).select(
-                "crawl_id", "url", "level", F.lit(None).cast("string").alias("parent_url"), key.alias("path"), "base_url", "ord"
+                "crawl_id", "url", "level", F.lit(None).cast("string").alias("parent_url"), key.alias("path"), "base_url", F.col("parent").alias("parent_ord"), "ord"
             )
         else:
             above = out[-1].select(F.col("ord").alias("parent"), "crawl_id", F.col("url").alias("parent_url"), F.col("path").alias("above"), "base_url")
-            rows = rows.join(above, "parent").select("crawl_id", "url", "level", "parent_url", F.concat("above", key).alias("path"), "base_url", "ord")
+            rows = rows.join(above, "parent").select("crawl_id", "url", "level", "parent_url", F.concat("above", key).alias("path"), "base_url", F.col("parent").alias("parent_ord"), "ord")
         out.append(scratch.write(rows, "named_level"))
     return out
 
 
 def walk(links: DataFrame, heavy: DataFrame | None, seeds: DataFrame, known: DataFrame | None, max_depth: int, config: CrawlConfig, scratch: Scratch, lookup) -> list[DataFrame]:
-    """Levels ``crawl_id, url, level, parent_url, path, base_url, ord`` of a traversal from ``seeds``
+    """Levels ``crawl_id, url, level, parent_url, path, base_url, parent_ord, ord`` of a traversal from ``seeds``
     (valid, one row a crawl and URL, without the ``known`` pages)."""
     graph = number(links, heavy, seeds, config, scratch)
     crawls, level, visited = start(seeds, known, graph, config, scratch)

@@ -141,7 +141,8 @@ def contents(nodes: DataFrame, scratch: Scratch | None = None, page_numbers: str
     if page_numbers == "reference":
         page = F.lit(CONTENTS_PAGE)
     elif page_numbers == "ordinal":
-        nodes = with_preorder_rank(nodes.select("crawl_id", "path", "title", "level"), scratch)
+        if "rank" not in nodes.columns:
+            nodes = with_preorder_rank(nodes.select("crawl_id", "path", "title", "level"), scratch)
         page = F.col("rank") + 2
     else:
         raise ValueError("page_numbers must be 'reference' or 'ordinal'")

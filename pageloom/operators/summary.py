@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.sources.snapshots import is_retryable_error
+
 
 def crawl_summary(visited: DataFrame) -> DataFrame:
     """Visited and scraped pages per crawl."""
@@ -29,3 +31,8 @@ def failure_counts(visited: DataFrame, rejected: DataFrame | None = None) -> Dat
     if rejected is not None:
         failed = failed.unionByName(rejected.select("crawl_id", "error"))
     return failed.groupBy("crawl_id", "error").agg(F.count("*").alias("pages"))
+
+
+def retryable_failures(failures: DataFrame) -> DataFrame:
+    """``failure_counts`` with ``retryable``: whether a later request may succeed."""
+    return failures.withColumn("retryable", is_retryable_error(F.col("error")))

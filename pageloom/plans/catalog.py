@@ -17,7 +17,9 @@ from pageloom.operators import report as rp
 from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
 from pageloom.operators.parse import parse_pages
-from pageloom.plans.site import SiteCrawl, crawl_site
+from pageloom.plans import rewritten
+from pageloom.plans.site import SiteCrawl, crawl_site, write_outputs
+from pageloom.sources.packed import read_index, read_packed, write_packed
 from pageloom.sources.scratch import Scratch
 from pageloom.sources.snapshots import page_lookup, read_pages, spread
 
@@ -272,15 +274,19 @@ def _store(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return seeds, edges, records
 
 
-def _traverse(spark, seeds, edges, stored, depth, config, known=None) -> DataFrame:
+def _traversal(spark, seeds, edges, stored, depth, config, known=None) -> cr.Traversal:
     scratch = Scratch(spark)
     try:
         graph = cr.edge_graph(edges, stored, config, scratch)
-        return cr.traverse(cr.seed_rows(seeds), graph, depth, config, scratch, known)
+        return cr.traversal(cr.seed_rows(seeds), graph, depth, config, scratch, known)
     finally:
         scratch.release()
 
 
+def _traverse(spark, seeds, edges, stored, depth, config, known=None) -> DataFrame:
+    return _traversal(spark, seeds, edges, stored, depth, config, known).visited
+
+
 def _store_visited(spark, sf_dir) -> DataFrame:
     seeds, edges, records = _store(spark, sf_dir)
     return _traverse(spark, seeds, edges, records.select("url"), 2, STORE)
@@ -292,6 +298,13 @@ def _store_nodes(spark, sf_dir) -> DataFrame:
     return cr.named_nodes(cr.scraped_rows(visited), records)
 
 
+def _store_numbered(spark, sf_dir) -> DataFrame:
+    """Nodes with tree numbers."""
+    seeds, edges, records = _store(spark, sf_dir)
+    tree = _traversal(spark, seeds, edges, records.select("url"), 2, STORE).tree
+    return cr.named_nodes(tr.with_tree_numbers(tree, Scratch(spark)), records)
+
+
 def _visited_columns(visited: DataFrame) -> DataFrame:
     return visited.select("crawl_id", "url", "level", "parent_url", shown_path(), "scraped")
 
@@ -369,11 +382,11 @@ def tree_nodes(spark, sf_dir):
 
 
 def tree_children(spark, sf_dir):
-    return tr.children(_store_nodes(spark, sf_dir), Scratch(spark))
+    return tr.children(_store_numbered(spark, sf_dir), Scratch(spark))
 
 
 def tree_json(spark, sf_dir):
-    lines = tr.json_lines(_store_nodes(spark, sf_dir))
+    lines = tr.json_lines(_store_numbered(spark, sf_dir))
     return lines.select("crawl_id", shown_path(), "line_no", "line")
 
 
@@ -388,16 +401,12 @@ def contents(spark, sf_dir):
 
 
 def contents_numbered(spark, sf_dir):
-    nodes = _store_nodes(spark, sf_dir)
-    rows = rp.contents(nodes, Scratch(spark), "ordinal")
+    rows = rp.contents(_store_numbered(spark, sf_dir), None, "ordinal")
     return rows.select("crawl_id", shown_path(), "indent_mm", "entry")
 
 
 def report_pages(spark, sf_dir):
-    seeds, edges, records = _store(spark, sf_dir)
-    visited = _traverse(spark, seeds, edges, records.select("url"), 2, STORE)
-    ranked = tr.with_preorder_rank(cr.scraped_rows(visited), Scratch(spark))
-    return rp.tree_pages(cr.named_nodes(ranked, records), STORE)
+    return rp.tree_pages(_store_numbered(spark, sf_dir), STORE)
 
 
 def _flat_content(spark, sf_dir) -> DataFrame:
@@ -421,6 +430,40 @@ def report_pages_plain(spark, sf_dir):
     return rp.plain_page_lines(ex.plain_pages(pages_of(spark, sf_dir)), plain_config())
 
 
+# --- sinks -----------------------------------------------------------------------------
+
+
+def packed_outputs(spark, sf_dir):
+    """Text and JSON of the store's crawls, packed, and what the indexes say of them."""
+    scratch = Scratch(spark)
+    nodes = scratch.write(_store_numbered(spark, sf_dir), "nodes")
+    write_packed(rp.tree_blocks(nodes), ["path"], f"{scratch.folder}/text")
+    write_packed(tr.json_blocks(nodes), ["at", "turn"], f"{scratch.folder}/json")
+    both = [read_index(spark, f"{scratch.folder}/{name}").withColumn("output", F.lit(name)) for name in ("text", "json")]
+    rows = both[0].unionByName(both[1])
+    return rows.groupBy("crawl_id", "output").agg(F.sum("length").alias("bytes"))
+
+
+def packed_lines(spark, sf_dir):
+    """Lines of one crawl in two, read back by their ranges, and how often each occurs."""
+    scratch = Scratch(spark)
+    nodes = scratch.write(_store_numbered(spark, sf_dir), "nodes")
+    write_packed(tr.json_blocks(nodes), ["at", "turn"], f"{scratch.folder}/json")
+    wanted = table(spark, sf_dir, "region").where("r_regionkey % 2 = 0").select(F.lower("r_name").alias("crawl_id"))
+    texts = read_packed(spark, f"{scratch.folder}/json", wanted)
+    lines = texts.select("crawl_id", F.explode(F.split(F.rtrim("text", F.lit("\n")), "\n")).alias("line"))
+    return lines.groupBy("crawl_id", "line").agg(F.count("*").alias("n"))
+
+
+def flat_outputs(spark, sf_dir):
+    """Text of every page's own crawl, written flat by ``write_outputs`` and read back."""
+    crawl = _page_crawl(spark, sf_dir)
+    folder = f"{crawl.scratch.folder}/out"
+    write_outputs(crawl, "text", folder, layout="flat", packed=True)
+    texts = read_index(spark, f"{folder}/scraped_content")
+    return texts.groupBy("crawl_id").agg(F.sum("length").alias("bytes"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -463,5 +506,8 @@ QUERIES = {
         flat_text,
         report_pages_flat,
         report_pages_plain,
+        packed_outputs,
+        packed_lines,
+        flat_outputs,
     )
-}
+} | rewritten.QUERIES

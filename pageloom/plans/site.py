@@ -16,8 +16,10 @@ from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
 from pageloom.sources import sinks
 from pageloom.sources.journal import Journal, fingerprint
+from pageloom.sources.packed import write_packed
 from pageloom.sources.scratch import Scratch
 
+LAYOUTS = ("tree", "flat")
 FORMATS = {"text": ("text",), "pdf": ("pdf",), "json": ("json",), "both": ("text", "pdf", "json")}
 
 
@@ -35,6 +37,7 @@ class SiteCrawl:
     scratch: Scratch
     seeds: DataFrame
     visited: DataFrame
+    tree: DataFrame
     rejected: DataFrame
 
     @cached_property
@@ -44,8 +47,8 @@ class SiteCrawl:
 
     @cached_property
     def ranked_nodes(self) -> DataFrame:
-        """Nodes with ``rank``, their place in the tree; ranked before text is attached."""
-        ranked = tr.with_preorder_rank(cr.scraped_rows(self.visited), self.scratch)
+        """Nodes with their tree numbers; numbered before text is attached."""
+        ranked = tr.with_tree_numbers(self.tree, self.scratch)
         return cr.page_nodes(ranked, self.graph, self.config)
 
     @cached_property
@@ -98,12 +101,12 @@ def crawl_site(
         scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, pages, seeds, known))
     try:
         graph = cr.page_graph(pages, seeds, config, scratch)
-        visited = cr.traverse(seeds, graph, max_depth, config, scratch, known)
+        walked = cr.traversal(seeds, graph, max_depth, config, scratch, known)
     finally:
         scratch.release()
-    crawl = SiteCrawl(config, max_depth, graph, scratch, seeds, visited, cr.rejected_seeds(seeds))
+    crawl = SiteCrawl(config, max_depth, graph, scratch, seeds, walked.visited, walked.tree, cr.rejected_seeds(seeds))
     if strict:
-        failed = visited.where((F.col("level") == 0) & ~F.col("scraped")).select("url", "error")
+        failed = crawl.visited.where((F.col("level") == 0) & ~F.col("scraped")).select("url", "error")
         first = failed.unionByName(crawl.rejected.select("url", "error")).first()
         if first is not None:
             raise SeedError(f"{first['url']}: {first['error']}")
@@ -111,21 +114,47 @@ def crawl_site(
 
 
 def write_outputs(
-    crawl: SiteCrawl, formats: str = "text", folder: str | None = None, generated_at: datetime | None = None
+    crawl: SiteCrawl,
+    formats: str = "text",
+    folder: str | None = None,
+    generated_at: datetime | None = None,
+    layout: str = "tree",
+    packed: bool = False,
 ) -> None:
-    """Write 'text', 'pdf' (as page rows), 'json' or, with 'both', all three."""
+    """Write 'text', 'pdf' (as page rows), 'json' or, with 'both', all three.
+
+    ``layout`` 'tree' indents text by level and has a contents table; 'flat' lists the pages
+    by URL. The JSON is a tree in both. Text and JSON become one folder a crawl or, with
+    ``packed``, a report store for any number of crawls.
+    """
     if formats not in FORMATS:
         raise ValueError(f"formats must be one of {tuple(FORMATS)}")
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}")
     folder = folder or crawl.config.output_dir
     chosen = FORMATS[formats]
+    write = write_packed if packed else sinks.write_blocks
+
+    def written(rows: DataFrame, label: str) -> DataFrame:
+        # Written first: the sinks sort by ranges, which reads their input twice.
+        return crawl.scratch.write(rows, label)
+
     if "text" in chosen:
-        sinks.write_blocks(rp.tree_blocks(crawl.nodes), ["path"], f"{folder}/scraped_content")
+        if layout == "tree":
+            write(written(rp.tree_blocks(crawl.nodes), "text_blocks"), ["path"], f"{folder}/scraped_content")
+        else:
+            write(written(rp.flat_blocks(crawl.content), "text_blocks"), ["url"], f"{folder}/scraped_content")
     if "pdf" in chosen:
         when = generated_at or datetime.now()
         title_rows = rp.title_page(crawl.summary, crawl.bases, when)
         sinks.write_table(title_rows, ["crawl_id", "line_no"], f"{folder}/pages/title_page")
-        sinks.write_table(rp.contents(crawl.nodes), ["crawl_id", "path"], f"{folder}/pages/contents")
-        pages = rp.tree_pages(crawl.ranked_nodes, crawl.config)
-        sinks.write_table(pages, ["crawl_id", "doc_page", "line_no"], f"{folder}/pages/body")
+        if layout == "tree":
+            sinks.write_table(rp.contents(crawl.nodes), ["crawl_id", "path"], f"{folder}/pages/contents")
+            pages = rp.tree_pages(crawl.ranked_nodes, crawl.config)
+        else:
+            numbered = rp.number_pages(cr.scraped_rows(crawl.visited), crawl.scratch)
+            pages = rp.flat_pages(cr.page_nodes(numbered, crawl.graph, crawl.config), crawl.config)
+        sinks.write_table(written(pages, "page_rows"), ["crawl_id", "doc_page", "line_no"], f"{folder}/pages/body")
     if "json" in chosen:
-        sinks.write_blocks(tr.json_blocks(crawl.nodes), ["path"], f"{folder}/menu_tree")
+        blocks = tr.json_blocks(crawl.ranked_nodes).drop("path")
+        write(written(blocks, "json_blocks"), ["at", "turn"], f"{folder}/menu_tree")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.sources.scratch import Scratch
+
 
 def write_blocks(blocks: DataFrame, order: list[str], folder: str) -> None:
     """Write blocks of lines as text, one folder per crawl, overwriting what is there.
@@ -22,8 +24,12 @@ def write_blocks(blocks: DataFrame, order: list[str], folder: str) -> None:
 
 
 def write_plain_text(records: DataFrame, folder: str) -> None:
-    """Write the texts of pages in the order of their URLs; failed pages have none."""
-    ordered = records.where(F.col("text").isNotNull()).repartitionByRange("url").sortWithinPartitions("url")
+    """Write the texts of pages in the order of their URLs; failed pages have none.
+
+    Records are written once before they are sorted, as sorting by ranges reads its input twice.
+    """
+    read = Scratch(records.sparkSession).write(records.where(F.col("text").isNotNull()).select("url", "text"), "texts")
+    ordered = read.repartitionByRange("url").sortWithinPartitions("url")
     ordered.select(F.col("text").alias("value")).write.mode("overwrite").text(folder)
 
 

@@ -44,12 +44,15 @@ def read_pages(spark: SparkSession, path: str, partitions: int | None = None) ->
     return spread(stored.select("page_id", "url", "html", *optional), partitions)
 
 
+def http_error(status: Column) -> Column:
+    return F.concat(F.lit("Failed to fetch URL (HTTP "), status.cast("string"), F.lit(")"))
+
+
 def fetch_error(pages: DataFrame, config: CrawlConfig) -> Column:
     """Why a stored page counts as not fetched; null where it was fetched."""
     error = F.lit(None).cast("string")
     if "status" in pages.columns:
-        failed = F.concat(F.lit("Failed to fetch URL (HTTP "), F.col("status").cast("string"), F.lit(")"))
-        error = F.when(F.col("status") >= 400, failed).otherwise(error)
+        error = F.when(F.col("status") >= 400, http_error(F.col("status"))).otherwise(error)
     if "timed_out" in pages.columns:
         late = F.lit(f"Request timed out after {config.timeout} seconds")
         error = F.when(F.col("timed_out"), late).otherwise(error)
@@ -70,8 +73,14 @@ def is_retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE_STATUS)
 
 
+def is_retryable_error(error: Column) -> Column:
+    """Whether a failure is one of those a later request may not meet; false where there is none."""
+    texts = [http_error(F.lit(status)) for status in RETRYABLE_STATUS]
+    return F.coalesce(error.isin(*texts), F.lit(False))
+
+
 def page_lookup(requests: DataFrame, pages: DataFrame, config: CrawlConfig) -> DataFrame:
-    """Requested URLs with ``scraped`` and ``error``; a missing page is a failed fetch."""
+    """Requested URLs with ``scraped``, ``error`` and ``retryable``; a missing page is a failed fetch."""
     first_copy = F.min_by(fetch_error(pages, config), copy_order(pages))
     stored = pages.groupBy("url").agg(first_copy.alias("fetch_error")).withColumn("stored", F.lit(True))
     hit = F.coalesce(F.col("stored"), F.lit(False))
@@ -83,7 +92,7 @@ def page_lookup(requests: DataFrame, pages: DataFrame, config: CrawlConfig) -> D
             .when(~hit, MISSING_PAGE)
             .otherwise(F.col("fetch_error")),
         )
-        .withColumn("scraped", F.col("error").isNull())
+        .withColumns({"scraped": F.col("error").isNull(), "retryable": is_retryable_error(F.col("error"))})
         .drop("stored", "fetch_error")
     )
 
