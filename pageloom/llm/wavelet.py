@@ -1,15 +1,18 @@
 """Token-id shards as wavelet matrices.
 
-A shard file holds the ids of its documents, end ids included, in ascending order of
-their identifiers: one bit plane per bit of an id, from the highest, each in the order
-the planes before it give (zeros first). With counts of ones per word, the planes give
-access to any token, counts of an id before a position, and the place of its k-th
-occurrence, all from the one file. Planes and the table of documents are compressed.
-
-Layout, little-endian: 8 bytes ``PLWM0001``; header length (u4) and header, JSON with
-``tokens``, ``documents``, ``planes`` and ``parts`` (compressed length of each part);
-then the parts, each zstandard: identifiers (i8), null marks (u1), token counts (i8), and
-the planes, eight positions a byte, lowest bit first.
+A shard file holds the ids of its documents, end ids included, in ascending order of their
+identifiers: one bit plane per bit of an id, from the highest, each in the order the planes
+before it give (zeros first). Counts of ones, sampled every 512 positions, are stored with
+the planes; with them the planes give access to any token, counts of an id before a position,
+and the place of its k-th occurrence, all from the one file. The matrix is cut into blocks of
+``BLOCK`` positions, each compressed by itself, so that a look-up decompresses one block (or,
+for an id's occurrences, one after the other) and building works within the cache.
+
+Layout, little-endian: 8 bytes ``PLWM0002``; header length (u4) and header, JSON with
+``tokens``, ``documents``, ``planes``, ``block`` and the compressed lengths of ``tables`` and
+``blocks``; then these, each zstandard: identifiers (i8), null marks (u1), token counts (i8);
+of each block, plane by plane, the ones before every 512th position (u4) and the bits, eight
+positions a byte, lowest bit first.
 
 Documents are range-partitioned by identifier; a task closes a file after ``file_tokens``,
 so its memory does not grow with the shard. Defined results: a null text is one end id;
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -34,66 +38,65 @@ from pageloom.llm import storage
 from pageloom.llm.common import written
 from pageloom.llm.tokens import encoder
 
-MAGIC = b"PLWM0001"
+MAGIC = b"PLWM0002"
 FILE_TOKENS = 8 << 20
 BATCH_TOKENS = 1 << 20
-FIXED_PARTS = 3
+BLOCK = 1 << 18  # positions
+SAMPLE = 512  # positions between two stored counts of ones
+TABLES = ("<i8", "<u1", "<i8")
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of ids; ``planes`` are packed, lowest bit first."""
+    """Bit planes of a sequence of ids, packed, lowest bit first, and their samples of ones."""
 
-    def __init__(self, planes: list[np.ndarray], n: int):
-        self.packed, self.n = planes, n
+    def __init__(self, planes: list[np.ndarray], samples: list[np.ndarray], n: int):
+        self.planes, self.samples, self.n = planes, samples, n
 
     @classmethod
     def of(cls, ids: np.ndarray, planes: int) -> WaveletMatrix:
-        packed, now = [], ids
+        packed, samples, now = [], [], np.ascontiguousarray(ids)
         for shift in range(planes - 1, -1, -1):
-            bits = (now >> now.dtype.type(shift) & now.dtype.type(1)).astype(bool)
+            bytes_ = now.view(np.uint8)[shift >> 3 :: now.itemsize]
+            bits = (bytes_ & np.uint8(1 << (shift & 7))).view(np.uint8).astype(bool)
             packed.append(np.packbits(bits, bitorder="little"))
-            now = np.concatenate([now[~bits], now[bits]])
-        return cls(packed, len(ids))
+            samples.append(ones_before(packed[-1]))
+            zeros = len(now) - int(np.count_nonzero(bits))
+            ordered = np.empty_like(now)
+            np.compress(~bits, now, out=ordered[:zeros])
+            np.compress(bits, now, out=ordered[zeros:])
+            now = ordered
+        return cls(packed, samples, len(ids))
 
     @cached_property
-    def _words(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Of each plane: words of 64 bits, ones before each word, and its zeros."""
-        out = []
-        for plane in self.packed:
-            words = np.frombuffer(plane.tobytes() + bytes(-len(plane) % 8 + 8), dtype="<u8")
-            before = np.append(0, np.cumsum(np.bitwise_count(words), dtype=np.int64))
-            out.append((words, before, self.n - int(before[-1])))
-        return out
+    def _zeros(self) -> list[int]:
+        return [self.n - self._ones(plane, self.n) for plane in range(len(self.planes))]
 
     def _ones(self, plane: int, i: int) -> int:
-        words, before, _ = self._words[plane]
-        word, bit = divmod(i, 64)
-        return int(before[word]) + (int(words[word]) & (1 << bit) - 1).bit_count()
-
-    def _bit(self, plane: int, i: int) -> int:
-        return int(self._words[plane][0][i >> 6]) >> (i & 63) & 1
+        """Ones before position ``i``."""
+        at = i // SAMPLE
+        bits = int.from_bytes(self.planes[plane][at * SAMPLE // 8 : (i + 7) // 8].tobytes(), "little")
+        return int(self.samples[plane][at]) + (bits & (1 << i - at * SAMPLE) - 1).bit_count()
 
     def access(self, i: int) -> int:
         """The id at position i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for plane in range(len(self.packed)):
-            bit, ones = self._bit(plane, i), self._ones(plane, i)
+        for plane in range(len(self.planes)):
+            bit, ones = int(self.planes[plane][i >> 3]) >> (i & 7) & 1, self._ones(plane, i)
             value = value << 1 | bit
-            i = self._words[plane][2] + ones if bit else i - ones
+            i = self._zeros[plane] + ones if bit else i - ones
         return value
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
         """Where the value's occurrences before ``end`` lie below the last plane."""
-        if value >> len(self.packed):
+        if value < 0 or value >> len(self.planes):
             return 0, 0
         lo, hi = 0, end
-        for plane in range(len(self.packed)):
+        for plane in range(len(self.planes)):
             a, b = self._ones(plane, lo), self._ones(plane, hi)
-            if value >> len(self.packed) - 1 - plane & 1:
-                zeros = self._words[plane][2]
-                lo, hi = zeros + a, zeros + b
+            if value >> len(self.planes) - 1 - plane & 1:
+                lo, hi = self._zeros[plane] + a, self._zeros[plane] + b
             else:
                 lo, hi = lo - a, hi - b
         return lo, hi
@@ -112,60 +115,142 @@ class WaveletMatrix:
         if not 0 <= k < hi - lo:
             raise IndexError(k)
         at = lo + k
-        for plane in range(len(self.packed) - 1, -1, -1):
-            zeros = self._words[plane][2]
-            one = value >> len(self.packed) - 1 - plane & 1
-            at = self._nth(plane, at - zeros if one else at, one)
+        for plane in range(len(self.planes) - 1, -1, -1):
+            one = value >> len(self.planes) - 1 - plane & 1
+            at = self._nth(plane, at - self._zeros[plane] if one else at, one)
         return at
 
     def _nth(self, plane: int, k: int, one: int) -> int:
-        words, before, _ = self._words[plane]
-        upto = before if one else np.arange(len(before)) * 64 - before
-        word = int(np.searchsorted(upto, k, side="right")) - 1
-        left = k - int(upto[word])
-        value = int(words[word]) if one else ~int(words[word]) & (1 << 64) - 1
-        for _ in range(left):
-            value &= value - 1
-        return word * 64 + (value & -value).bit_length() - 1
+        """Position of the k-th bit of a kind: the last sample not beyond it, then the stretch behind."""
+        before = self.samples[plane].astype(np.int64)
+        if not one:
+            before = np.arange(len(before)) * SAMPLE - before
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        stretch = np.unpackbits(self.planes[plane][at * SAMPLE // 8 : (at + 1) * SAMPLE // 8], bitorder="little")
+        return at * SAMPLE + int(np.flatnonzero(stretch == one)[k - int(before[at])])
+
+    def places(self, value: int) -> np.ndarray:
+        """Positions of all occurrences, found from the last plane up, all together."""
+        lo, hi = self._range(value, self.n)
+        at = np.arange(lo, hi)
+        for plane in range(len(self.planes) - 1, -1, -1):
+            if not len(at):
+                break
+            one = value >> len(self.planes) - 1 - plane & 1
+            bits = np.unpackbits(self.planes[plane], count=self.n, bitorder="little")
+            at = np.flatnonzero(bits == one)[at - self._zeros[plane] if one else at]
+        return at
 
     def tokens(self) -> np.ndarray:
         """All ids in order."""
-        now = np.zeros(self.n, dtype=np.uint32)
-        for shift, plane in enumerate(reversed(self.packed)):
-            bits = np.unpackbits(plane, count=self.n, bitorder="little").astype(bool)
-            zeros = self.n - int(bits.sum())
-            above = np.empty(self.n, dtype=np.uint32)
-            above[~bits] = now[:zeros]
-            above[bits] = now[zeros:] | np.uint32(1 << shift)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, dtype=kind)
+        for shift, plane in enumerate(reversed(self.planes)):
+            bits = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            zeros = self.n - int(np.count_nonzero(bits))
+            above = np.empty(self.n, dtype=kind)
+            above[np.flatnonzero(~bits)] = now[:zeros]
+            above[np.flatnonzero(bits)] = now[zeros:] | kind(1 << shift)
             now = above
         return now
 
+    def to_bytes(self) -> bytes:
+        return b"".join(x.tobytes() for pair in zip(self.samples, self.planes) for x in pair)
+
+    @classmethod
+    def from_bytes(cls, data: bytes, n: int, planes: int) -> WaveletMatrix:
+        n_samples, n_bytes = n // SAMPLE + 1, (n + 7) // 8
+        samples, packed = [], []
+        for at in range(0, planes * (4 * n_samples + n_bytes), 4 * n_samples + n_bytes):
+            samples.append(np.frombuffer(data, "<u4", n_samples, at))
+            packed.append(np.frombuffer(data, np.uint8, n_bytes, at + 4 * n_samples))
+        return cls(packed, samples, n)
+
+
+def ones_before(plane: np.ndarray) -> np.ndarray:
+    """Ones before every ``SAMPLE``-th position, from 0 on."""
+    step = SAMPLE // 8
+    whole = np.zeros((len(plane) // step + 1) * step, dtype=np.uint8)
+    whole[: len(plane)] = plane
+    ones = np.bitwise_count(whole.view("<u8")).reshape(-1, step // 8).sum(axis=1)
+    return np.append(0, np.cumsum(ones))[: len(ones)].astype("<u4")
+
+
+class Shard:
+    """A shard file, of which only what is asked for is fetched: ``fetch(offset, length)`` gives its bytes."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes]):
+        self.fetch = fetch
+        start = fetch(0, 12)
+        if start[:8] != MAGIC:
+            raise ValueError("not a token shard")
+        (size,) = struct.unpack_from("<I", start, 8)
+        header = json.loads(fetch(12, size))
+        self.n, self.planes, self.block = header["tokens"], header["planes"], header["block"]
+        lengths = header["tables"] + header["blocks"]
+        self.offsets = np.append(0, np.cumsum(lengths)) + 12 + size
+        self.n_blocks = len(header["blocks"])
+        self.held: tuple[int, WaveletMatrix] | None = None
+
+    @classmethod
+    def open(cls, uri: str) -> Shard:
+        store, path = storage.opened(uri)
+        file = store.open_input_file(path)
+        return cls(lambda offset, length: file.read_at(length, offset))
+
+    def _part(self, i: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.fetch(int(self.offsets[i]), int(self.offsets[i + 1] - self.offsets[i])))
+
+    def tables(self) -> tuple[list[int | None], np.ndarray]:
+        """Identifiers and token counts of the documents."""
+        keys, gone, counts = (np.frombuffer(self._part(i), kind) for i, kind in enumerate(TABLES))
+        return [None if g else k for k, g in zip(keys.tolist(), gone.tolist())], counts
+
+    def matrix(self, block: int) -> WaveletMatrix:
+        if self.held is None or self.held[0] != block:
+            n = min(self.block, self.n - block * self.block)
+            self.held = block, WaveletMatrix.from_bytes(self._part(len(TABLES) + block), n, self.planes)
+        return self.held[1]
+
+    def access(self, i: int) -> int:
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return self.matrix(i // self.block).access(i % self.block)
+
+    def rank(self, value: int, end: int) -> int:
+        whole, rest = divmod(end, self.block)
+        return sum(self.matrix(b).count(value) for b in range(whole)) + (self.matrix(whole).rank(value, rest) if rest else 0)
+
+    def count(self, value: int) -> int:
+        return self.rank(value, self.n)
+
+    def select(self, value: int, k: int) -> int:
+        for block in range(self.n_blocks if k >= 0 else 0):
+            here = self.matrix(block).count(value)
+            if k < here:
+                return block * self.block + self.matrix(block).select(value, k)
+            k -= here
+        raise IndexError(k)
+
+    def tokens(self) -> np.ndarray:
+        return np.concatenate([self.matrix(b).tokens() for b in range(self.n_blocks)])
+
 
 def to_file(keys: list[int | None], ids: list[np.ndarray], planes: int) -> bytes:
     joined = np.concatenate(ids)
-    parts = [
-        np.array([k or 0 for k in keys], dtype="<i8"),
-        np.array([k is None for k in keys], dtype="<u1"),
-        np.array([len(x) for x in ids], dtype="<i8"),
-        *WaveletMatrix.of(joined, planes).packed,
-    ]
-    packed = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in parts]
-    header = json.dumps({"tokens": len(joined), "documents": len(keys), "planes": planes, "parts": list(map(len, packed))}).encode()
-    return b"".join([MAGIC, struct.pack("<I", len(header)), header, *packed])
-
-
-def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    tables = ([k or 0 for k in keys], [k is None for k in keys], [len(x) for x in ids])
+    compress = zstandard.ZstdCompressor(level=1).compress
+    first = [compress(np.array(t, dtype=kind).tobytes()) for t, kind in zip(tables, TABLES)]
+    blocks = [compress(WaveletMatrix.of(joined[at : at + BLOCK], planes).to_bytes()) for at in range(0, len(joined), BLOCK)]
+    header = {"tokens": len(joined), "documents": len(keys), "planes": planes, "block": BLOCK, "tables": [len(x) for x in first], "blocks": [len(x) for x in blocks]}
+    packed = json.dumps(header).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(packed)), packed, *first, *blocks])
+
+
+def from_file(data: bytes) -> tuple[list[int | None], np.ndarray, Shard]:
     """Identifiers, token counts and matrix of a shard file."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token shard")
-    (size,) = struct.unpack_from("<I", data, 8)
-    header, at, parts = json.loads(data[12 : 12 + size]), 12 + size, []
-    for length in header["parts"]:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + length]))
-        at += length
-    keys = [None if gone else k for k, gone in zip(np.frombuffer(parts[0], "<i8").tolist(), parts[1])]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[FIXED_PARTS:]]
-    return keys, np.frombuffer(parts[2], "<i8"), WaveletMatrix(planes, header["tokens"])
+    shard = Shard(lambda offset, length: data[offset : offset + length])
+    return *shard.tables(), shard
 
 
 def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str = "doc_id", text: str = "text", file_tokens: int = FILE_TOKENS) -> DataFrame:
@@ -213,8 +298,8 @@ def read_shards(files: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist()):
-                keys, counts, matrix = from_file(storage.read(uri))
-                ids = matrix.tokens().astype("<u4")
+                keys, counts, shard = from_file(storage.read(uri))
+                ids = shard.tokens().astype("<u4")
                 ends = np.cumsum(counts)
                 lo = 0
                 while lo < len(keys):  # batches of bounded size
@@ -226,3 +311,58 @@ def read_shards(files: DataFrame, key: str = "doc_id") -> DataFrame:
 
     n = max(1, files.count())
     return files.select("uri", "first").repartition(n).mapInArrow(run, f"`{key}` bigint, start bigint, n_tokens bigint, ids binary")
+
+
+def token_counts(files: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, n) of each of ``ids``: how often it occurs in the files."""
+    wanted = sorted(set(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                shard = Shard.open(uri)
+                n = [0] * len(wanted)
+                for block in range(shard.n_blocks):
+                    matrix = shard.matrix(block)
+                    n = [x + matrix.count(value) for x, value in zip(n, wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
+
+    return files.select("uri").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def locate(files: DataFrame, ids: list[int]) -> DataFrame:
+    """(id, position) of every occurrence of ``ids``; positions count the ids of all files."""
+    wanted = sorted(set(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, first in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist()):
+                shard = Shard.open(uri)
+                for block in range(shard.n_blocks):
+                    matrix, at = shard.matrix(block), first + block * shard.block
+                    for value in wanted:
+                        places = matrix.places(value) + at
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), value), pa.int64()), pa.array(places, pa.int64())], names=["id", "position"])
+
+    return files.select("uri", "first").mapInArrow(run, "id bigint, position bigint")
+
+
+def access(files: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, id) of ``positions(position)``; those beyond the last token have no row."""
+    stretch = F.floor(F.col("position") / FILE_TOKENS)
+    last = F.floor((F.col("first") + F.col("n_tokens") - 1) / FILE_TOKENS)
+    spans = files.where("n_tokens > 0").select("uri", "first", "n_tokens", F.explode(F.sequence(F.floor(F.col("first") / FILE_TOKENS), last)).alias("stretch"))
+    asked = positions.select("position", stretch.alias("stretch")).distinct()
+    met = asked.join(spans, "stretch").where("position >= first AND position < first + n_tokens").select("uri", (F.col("position") - F.col("first")).alias("at"), "position")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, shard = None, None
+        for batch in batches:
+            found = []
+            for own, at in zip(batch.column("uri").to_pylist(), batch.column("at").to_pylist()):
+                if own != uri:
+                    uri, shard = own, Shard.open(own)
+                found.append(shard.access(at))
+            yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(found, pa.int64())], names=["position", "id"])
+
+    return met.repartition("uri").sortWithinPartitions("uri", "at").mapInArrow(run, "position bigint, id bigint")
