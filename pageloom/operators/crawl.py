@@ -132,9 +132,13 @@ def _on_base_hosts(pages: DataFrame, seeds: DataFrame, scratch: Scratch) -> Data
 
 
 def edge_graph(
-    edges: DataFrame, fetched: DataFrame, config: CrawlConfig, scratch: Scratch
+    edges: DataFrame, fetched: DataFrame, config: CrawlConfig, scratch: Scratch, by_url: bool = True
 ) -> LinkGraph:
-    """Graph from link rows ``src_url, url`` and stored pages ``url[, error]``."""
+    """Graph from link rows ``src_url, url`` and stored pages ``url[, error]``.
+
+    A traversal that numbers URLs places the links by number itself; for it, ``by_url`` False
+    leaves out placing them by URL.
+    """
     if "error" not in fetched.columns:
         fetched = fetched.withColumn("error", F.lit(None).cast("string"))
     one_each = fetched.groupBy("url").agg(F.min("error").alias("error"))
@@ -150,7 +154,7 @@ def edge_graph(
         heavy = scratch.write(rows.join(hot, "url", "left_semi"), "heavy_links")
         rows = rows.join(hot, "url", "left_anti")
     return LinkGraph(
-        links=scratch.write_bucketed(rows.repartition(buckets, "url"), "links", "url", buckets),
+        links=scratch.write_bucketed(rows.repartition(buckets, "url"), "links", "url", buckets) if by_url else rows,
         fetched=scratch.write_bucketed(one_each, "fetched", "url", buckets),
         scratch=scratch,
         heavy=heavy,

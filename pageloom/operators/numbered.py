@@ -143,23 +143,22 @@ def merged(visited: DataFrame, level: DataFrame) -> DataFrame:
     return visited.join(new, VISITED, "full").select(*VISITED, both.alias("bits"))
 
 
-def next_level(level: DataFrame, visited: DataFrame, graph: NumberedGraph, lookup) -> DataFrame:
+def next_level(level: DataFrame, depth: int, visited: DataFrame, graph: NumberedGraph, lookup) -> DataFrame:
     """One row per new page of each crawl, below the first page that links to it. ``lookup`` joins
     with a bucketed table whatever the requests' skew."""
-    rows = level.select("crawl", "id", "ord", "level", "lo", "hi")
+    rows = level.select("crawl", "id", "ord", "lo", "hi")
     found = lookup(rows, graph.neighbours)
     if graph.heavy is not None:
         # Neither side is bucketed here, so skewed partitions can be split at run time.
         found = found.unionByName(rows.join(graph.heavy, "id"))
-    links = found.select("crawl", "ord", "level", "lo", "hi", F.explode("links").alias("link")).where("link.id > lo AND link.id < hi")
+    links = found.select("crawl", "ord", "lo", "hi", F.explode("links").alias("link")).where("link.id > lo AND link.id < hi")
     first = links.groupBy("crawl", F.col("link.id").alias("id")).agg(
         F.min("ord").alias("parent"),
-        (F.first("level") + 1).alias("level"),
         F.first("link.segments").alias("segments"),
         F.min_by("lo", "ord").alias("lo"),
         F.min_by("hi", "ord").alias("hi"),
     )
-    return unseen(first, visited)
+    return unseen(first, visited).withColumn("level", F.lit(depth))
 
 
 def named_levels(levels: list[DataFrame], crawls: DataFrame, seeds: DataFrame, graph: NumberedGraph, config: CrawlConfig, scratch: Scratch) -> list[DataFrame]:
@@ -187,7 +186,7 @@ def walk(links: DataFrame, heavy: DataFrame | None, seeds: DataFrame, known: Dat
     crawls, level, visited = start(seeds, known, graph, config, scratch)
     levels = [level]
     for depth in range(max_depth):
-        level = _write_level(next_level(level, visited, graph, lookup), "parent", scratch)
+        level = _write_level(next_level(level, depth + 1, visited, graph, lookup), "parent", scratch)
         if level.isEmpty():
             break
         levels.append(level)

@@ -275,10 +275,10 @@ def _store(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _traversal(spark, seeds, edges, stored, depth, config, known=None) -> cr.Traversal:
-    scratch = Scratch(spark)
+    scratch, seeds = Scratch(spark), cr.seed_rows(seeds)
     try:
-        graph = cr.edge_graph(edges, stored, config, scratch)
-        return cr.traversal(cr.seed_rows(seeds), graph, depth, config, scratch, known)
+        graph = cr.edge_graph(edges, stored, config, scratch, by_url=not cr.numbers_urls(seeds, depth, config))
+        return cr.traversal(seeds, graph, depth, config, scratch, known)
     finally:
         scratch.release()
 
