@@ -24,6 +24,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession).write(df, label)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like ``wanted`` that ``df`` does not have, in whatever case."""
+    taken = {name.lower() for name in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 ROWS_AT_ONCE = 256
 
 

@@ -2,7 +2,7 @@
 
 Every step is joins and grouped minima over narrow rows; grouped minima combine before
 their shuffle and Spark can split the joins' hot keys, so a node with very many links is
-no single task's work. Rounds are cut by checkpoints.
+no single task's work. Rounds are cut by written tables.
 """
 
 from __future__ import annotations
@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.sources.scratch import shared_folder
-
-MAX_ROUNDS = 100
+from pageloom.llm.common import written
 
 
 def state(edges: DataFrame) -> tuple:
@@ -36,18 +34,10 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link to another node; root is the component's smallest
     node and has no row itself. Nulls and links of a node to itself are left out."""
-    shared_folder(links.sparkSession)
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = edges.checkpoint()
-    before = state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
-        edges = small_star(large_star(edges)).checkpoint()
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    edges = written(edges, "edges")
+    before, now = None, state(edges)
+    while now[0] and now != before:  # each round brings nodes nearer to their roots
+        edges = written(small_star(large_star(edges)), "edges")
+        before, now = now, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -5,15 +5,16 @@ shingles is contained in a document that holds at least ``threshold`` of them, s
 document misses at most q - ceil(threshold * q). The sketch of an item is its MinHash
 bottom-k, the k shingles with the smallest hashes, with k one more than that number of
 misses: every document that contains the item holds at least one shingle of its sketch.
-Items are partitioned by size (powers of two); each partition's largest sketch hash
-bounds the hashes that a document has to look up in it, and documents with too few
-shingles for an item are left out. So the search loses no link, unlike banded MinHash,
-whose miss rate grows with the length of the document. Candidates are verified by
-counting the item's shingles that the document holds, as strings.
+Items are partitioned by size (powers of two). Each partition has its own largest sketch
+hash, which bounds the hashes that a document has to look up in it, and its own map; a
+document with fewer shingles than the partition's least item needs skips it. So the search
+loses no link, unlike banded MinHash, whose miss rate grows with the length of the
+document. Candidates are verified by counting the item's shingles that the document holds,
+as strings.
 
-Documents are read once. What they need of the items is a bit map of ``map_bits`` bits
-for the sketches and one for all shingles, whatever the number of items; false hits of
-the maps vanish in the joins by hash and by shingle.
+Documents are read once. What they need of the items are bit maps, one of each partition's
+sketches and one of all shingles, of about ``spread`` bits a shingle, up to ``2**most_bits``
+each; false hits of the maps vanish in the joins by hash and by shingle.
 
 Defined results: null and empty texts are neither documents nor items that match. An
 item of fewer than ``shingle`` words is one shingle of all its words. Repeated documents
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import slices, written
+from pageloom.llm.common import free_name, slices, written
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -42,7 +43,8 @@ TOKEN = re.compile(r"[^\W_]+")
 class ContainmentSettings:
     shingle: int = 5
     threshold: float = 0.8
-    map_bits: int = 24  # 2 MB a map
+    spread: int = 64  # bits of a map for each shingle in it
+    most_bits: int = 30  # 128 MB
 
 
 def tokens(text: str | None) -> list[str]:
@@ -86,12 +88,52 @@ def item_shingles(items: DataFrame, key: str, text: str, s: ContainmentSettings)
     return rows.mapInArrow(run, schema).dropDuplicates(["item", "shingle"])
 
 
-def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bit map of the hashes: at most 2**bits positions reach the driver, however many hashes there are."""
-    at = hashes.select(F.expr(f"hash & {(1 << bits) - 1}").cast("int").alias("at")).distinct().toArrow().column("at")
-    map_ = np.zeros(1 << bits, dtype=bool)
-    map_[at.to_numpy()] = True
-    return np.packbits(map_, bitorder="little")
+@dataclass(frozen=True)
+class BitMap:
+    """Which hashes, by their lowest bits, may be there."""
+
+    bits: int
+    packed: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: DataFrame, n: int, s: ContainmentSettings) -> BitMap:
+        """At most 2**bits positions reach the driver, however many hashes there are."""
+        bits = min(s.most_bits, max(10, (n * s.spread - 1).bit_length()))
+        at = hashes.select(F.expr(f"hash & {(1 << bits) - 1}").cast("int").alias("at")).distinct().toArrow().column("at")
+        map_ = np.zeros(1 << bits, dtype=bool)
+        map_[at.to_numpy()] = True
+        return cls(bits, np.packbits(map_, bitorder="little"))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (1 << self.bits) - 1
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+@dataclass(frozen=True)
+class Partition:
+    """Items of about one size: their number, the largest hash of their sketches, the fewest shingles
+    that one of them needs, and the map of their sketches."""
+
+    part: int
+    bound: int
+    least: int
+    sketches: BitMap
+
+
+def partitions(sketch: DataFrame, s: ContainmentSettings) -> list[Partition]:
+    """One for each power of two among the items' sizes, so there are few."""
+    found = sketch.groupBy("part").agg(F.max("hash").alias("bound"), F.min("needed").alias("least"), F.count("*").alias("n")).orderBy("part").collect()
+    return [Partition(r.part, r.bound, r.least, BitMap.of(sketch.where(F.col("part") == r.part), r.n, s)) for r in found]
+
+
+def lookups(hashes: np.ndarray, n: int, parts: list[Partition]) -> list[int]:
+    """Hashes of a document with ``n`` distinct shingles that may be in some item's sketch."""
+    hits: set[int] = set()
+    for p in parts:
+        if n >= p.least:
+            low = hashes[hashes <= p.bound]
+            hits.update(low[p.sketches.holds(low)].tolist())
+    return sorted(hits)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", settings: ContainmentSettings = ContainmentSettings(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -101,15 +143,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     pieces = written(item_shingles(items, item_key, item_text, s), "item_shingles")
     lengths = sorted(r[0] for r in pieces.select("words").distinct().collect())  # 1 to the shingle length
     sketch = pieces.where("sketched")
-    bounds = {r.part: r.bound for r in sketch.groupBy("part").agg(F.max("hash").alias("bound")).collect()}  # one a power of two
-    bound = max(bounds.values(), default=-1)
     context = docs.sparkSession.sparkContext
-    maps = context.broadcast((bit_map(sketch, s.map_bits), bit_map(pieces, s.map_bits)))
-    mask = (1 << s.map_bits) - 1
-
-    def inside(bit_map_, hashes):
-        at = hashes & mask
-        return (bit_map_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    maps = context.broadcast((partitions(sketch, s), BitMap.of(pieces, pieces.count(), s)))
 
     def look(value):
         words = tokens(value)
@@ -117,12 +152,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         for n in lengths:
             if len(words) >= n:
                 found += shingles(words, n)
+        parts, every = maps.value
         hashes = np.fromiter(map(hash_of, found), dtype=np.int64, count=len(found))
-        hits = hashes[(hashes <= bound) & inside(maps.value[0], hashes)] if len(hashes) else hashes
-        if not len(hits):
+        distinct = len(set(found))
+        hits = lookups(hashes, distinct, parts)
+        if not hits:
             return None
-        shared = [found[i] for i in np.flatnonzero(inside(maps.value[1], hashes))]
-        return len(set(found)), hits.tolist(), shared
+        return distinct, hits, [found[i] for i in np.flatnonzero(every.holds(hashes))]
 
     rows = docs.select(F.col(key).alias("key_"), *keep, F.col(text).alias("text_"))
     kept = ("key_", *keep)
@@ -142,7 +178,9 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     hits = read.select("row_", "n", F.explode("hits").alias("hash"))
     candidates = hits.join(sketch.select("hash", "item", "needed"), "hash").where("n >= needed").select("row_", "item").distinct()
     shared = read.select("row_", F.explode("shared").alias("shingle"))
-    both = shared.join(pieces.select("shingle", "item", "size", "needed"), "shingle").join(candidates, ["row_", "item"], "left_semi")
+    # From candidates to their items' shingles to those the document holds: no pair without a common sketch hash is made.
+    asked = candidates.join(pieces.select("item", "shingle", "size", "needed"), "item")
+    both = asked.join(shared, ["row_", "shingle"])
     exact = both.groupBy("row_", "item").agg(F.count("*").alias("n_shared"), F.first("size").alias("n_shingles"), F.first("needed").alias("needed"))
     exact = exact.where("n_shared >= needed")
     named = read.select("row_", F.col("key_").alias(key), *keep).join(exact, "row_")
@@ -151,8 +189,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", settings: ContainmentSettings = ContainmentSettings()) -> DataFrame:
     """The rows of ``docs`` whose text contains no item."""
-    mark = "text_hash_"
-    hashed = docs.withColumn(mark, F.struct(F.xxhash64(text), F.crc32(text)))
+    mark = free_name(docs, "text_hash_")
+    hashed = docs.withColumn(mark, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     found = contaminated(hashed, items, key, text, item_key, item_text, settings, (mark,))
     found = written(found.select(mark).distinct(), "contaminated")
     return hashed.join(found, mark, "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ one score per bucket and language before prediction.
 
 Defined results: a null text or one without a letter gets ``und`` and score 0. Without
 any labelled row every text does. Texts of any length are read whole, a million
-characters at a time (pieces across such a cut are not counted). Rows are judged one by
+characters at a time, with overlaps, so that no piece is lost or counted twice. Rows are judged one by
 one, so ties and repeated rows do not matter; other columns are left out.
 """
 
@@ -27,13 +27,14 @@ from pageloom.llm.common import by_text
 
 UNKNOWN = "und"
 SLICE = 1 << 20
+LONGEST = 4  # characters of a piece
 _letters: np.ndarray | None = None
 
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    per_label: int = 600  # expected training rows of each label; the bound of the sample
-    labels: int = 256  # the most frequent labels are learned
+    per_label: int = 600  # expected training rows of each label
+    sample_rows: int = 4096  # expected training rows in all; with many labels each gets an equal share
     bits: int = 15  # 2**bits buckets
     dims: int = 16
     epochs: int = 6
@@ -76,20 +77,23 @@ def letters() -> np.ndarray:
 
 def pieces(text: str | None, bits: int):
     """Bucket numbers of all pieces of a text, an array for each slice of it."""
+    before = np.zeros(1, dtype=np.uint32)  # the boundary mark in front of the text
     for start in range(0, len(text or ""), SLICE):
         raw = text[start : start + SLICE].lower().encode("utf-32-le", "surrogatepass")
         points = np.frombuffer(raw, dtype="<u4")
-        code = np.zeros(len(points) + 2, dtype=np.uint32)
-        code[1:-1] = np.where(letters()[points], points, 0)
+        after = [0] if start + SLICE >= len(text) else []
+        code = np.concatenate([before, np.where(letters()[points], points, 0), after]).astype(np.uint32)
         on = code != 0
         if on.any():
-            yield hashed(code, on, bits)
+            yield hashed(code, on, bits, len(before) if start else 0)
+        before = code[-LONGEST + 1 :]
 
 
-def hashed(code: np.ndarray, on: np.ndarray, bits: int) -> np.ndarray:
+def hashed(code: np.ndarray, on: np.ndarray, bits: int, known: int = 0) -> np.ndarray:
+    """Buckets of the pieces that end behind the first ``known`` points, which an earlier slice had."""
     found = []
     hash_ = np.zeros(len(code), dtype=np.uint32)
-    for n in (1, 2, 3, 4):
+    for n in range(1, LONGEST + 1):
         if len(code) < n:
             break
         size = len(code) - n + 1
@@ -100,6 +104,7 @@ def hashed(code: np.ndarray, on: np.ndarray, bits: int) -> np.ndarray:
             valid = on[1 : size + 1]
             for k in range(2, n - 1):
                 valid = valid & on[k : size + k]
+        valid[: max(0, known - n + 1)] = False
         h = hash_[valid] + np.uint32(n)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
@@ -113,15 +118,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, text: str, label: str, key: Column, settings: LanguageSettings) -> list:
-    """Piece counts of a sample with about ``per_label`` rows of each label, the same in every run.
+    """Piece counts of a sample with about ``per_label`` rows of each label and ``sample_rows`` in all, the
+    same in every run.
 
     Only buckets and their counts leave the executors, at most 2**bits of each a row.
     """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(settings.labels).collect()
+    counts = known.groupBy(label).count().collect()  # one a label
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, settings.per_label / r[1]))])
+    each = min(settings.per_label, settings.sample_rows / len(counts))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, each / r[1]))])
     draw = F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(draw < share[F.col(label)]).select(F.col(label).alias("label"), F.col(text).alias("text"), draw.alias("draw"))
     schema = pa.schema([("label", pa.string()), ("draw", pa.float64()), ("ids", pa.binary()), ("n", pa.binary())])

@@ -2,8 +2,8 @@
 
 The documents of a partition, each followed by an end id, are one stream in their given
 order. Windows are stretches of at most ``window`` ids. Where a window may end: at a
-document's end (free), after a sentence (small penalty), and, in stretches without either,
-every ``grain`` ids (larger penalty). The least sum of padding, penalties and a small cost
+document's end (free), after a sentence (small penalty), and, in stretches of more than a
+window without either, every ``grain`` ids (larger penalty). The least sum of padding, penalties and a small cost
 per window is found from left to right: the best start of a window that ends here is the
 least of (cost + position) over the places at most ``window`` ids back, which a monotone
 queue keeps ready. Windows whose length is a power of two need no padding and are tried
@@ -57,7 +57,7 @@ def places(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray, s: PackingSetti
     penalty[ends] = 0
     penalty[0] = 0
     at = np.flatnonzero(penalty >= 0)
-    for i in np.flatnonzero(np.diff(at) > s.grain):
+    for i in np.flatnonzero(np.diff(at) > s.window):
         penalty[at[i] + s.grain : at[i + 1] : s.grain] = s.hard_cut
     at = np.flatnonzero(penalty >= 0)
     return at, penalty[at]

@@ -3,7 +3,7 @@
 A line fails by the first of three kinds of rules that holds:
 
 * punctuation: many symbols for its words, words that end in repeated marks, or a longer
-  line that is almost all capitals;
+  line whose cased letters are almost all capitals;
 * navigation: items parted by bars or arrows, or a few words without any punctuation;
 * boilerplate: rights, licences, cookies, sign-in and sharing phrases.
 
@@ -61,7 +61,7 @@ def line_failure(line: str, s: QualitySettings = QualitySettings()) -> str | Non
         return "punctuation"
     if len(REPEATED_MARK.findall(line)) > s.max_marks * n:
         return "punctuation"
-    if n >= 5 and line.upper() == line or n >= 5 and capitals(line) > s.max_capitals:
+    if n >= 5 and capitals(line) > s.max_capitals:
         return "punctuation"
     if len(BARS.findall(line)) >= s.min_bars:
         return "navigation"
@@ -75,8 +75,9 @@ def line_failure(line: str, s: QualitySettings = QualitySettings()) -> str | Non
 
 
 def capitals(line: str) -> float:
-    letters = [c for c in line if c.isalpha()]
-    return sum(map(str.isupper, letters)) / len(letters) if letters else 0.0
+    """Share of capitals among the letters that have a case; scripts without one have none."""
+    upper, lower = sum(map(str.isupper, line)), sum(map(str.islower, line))
+    return upper / (upper + lower) if upper else 0.0
 
 
 def repeated_words(words: list[bytes]) -> int:

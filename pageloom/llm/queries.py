@@ -111,7 +111,50 @@ c{1} AS MATERIALIZED (
   SELECT c, pos, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM c{0} LEFT JOIN (
     SELECT CAST(best % 8 AS INTEGER) AS c, pos, sum(x) AS s, count(*) AS n FROM long JOIN a{0} USING (rid) GROUP BY ALL) USING (c, pos)),"""
 
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spans_sql(number: int, rule: secrets.Rule) -> str:
+    """Spans of one rule: matches and the gaps before them, added up."""
+    return f"""
+  SELECT rid, {number} AS rule, '{rule.kind}' AS kind, span.stop - length(span.found) AS start, span.stop AS stop FROM (
+    SELECT rid, unnest(list_transform(range(1, len(found) + 1), lambda i: {{
+      'stop': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(found[1:i], lambda m: length(m))),
+      'found': found[i], 'checked': checked[i]}})) AS span
+    FROM (SELECT rid, string_split_regex(body, {_sql(rule.pattern)}) AS gaps, regexp_extract_all(body, {_sql(rule.pattern)}, 0) AS found,
+                 regexp_extract_all(body, {_sql(rule.pattern)}, {rule.group}) AS checked FROM rows))
+  WHERE length(span.checked) >= {rule.least}"""
+
+
+_SHINGLE = "list_distinct(list_transform(range(1, greatest(len(w) - n, 0) + 2), lambda k: array_to_string(w[k:k + n - 1], ' ')))"
+
 ORACLES = {
+    "op5_decontamination": f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+items AS MATERIALIZED (
+  SELECT item_id, len({_SHINGLE}) AS q, n, {_SHINGLE} AS s FROM (
+    SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) > 0)),
+piece AS MATERIALIZED (SELECT DISTINCT item_id, q, n, unnest(s) AS s FROM items),
+held AS (
+  SELECT DISTINCT rid, n, s FROM (
+    SELECT rid, n, unnest({_SHINGLE}) AS s FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)
+  WHERE s IN (SELECT s FROM piece))
+SELECT doc_id, item_id, q AS n_shingles, n_shared, n_shared / q AS containment FROM (
+  SELECT rid, item_id, q, count(*) AS n_shared FROM held JOIN piece USING (n, s) GROUP BY rid, item_id, q) JOIN d USING (rid)
+WHERE n_shared >= ceil(0.8 * q - 1e-9)""",
+    "op6_secret_scan": f"""
+WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+spans AS MATERIALIZED ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(secrets.RULES))}),
+of_row AS (
+  SELECT rid, count(*) FILTER (WHERE rule = 0) AS n_assign, count(*) FILTER (WHERE rule = 1) AS n_access, count(*) FILTER (WHERE rule = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) FILTER (WHERE rule < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) AS spans
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(of_row.spans, '') AS spans FROM rows LEFT JOIN of_row USING (rid)""",
     "op11_centroid_clustering": f"""
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -14,7 +14,7 @@ rows, so that a text may hold any number of them.
 
 Defined results: a null text is empty and has no spans. Repeated rows get the same spans.
 Spans of different kinds may overlap. Other columns are kept by ``redact`` and left out by
-``find``. A text counts as the same as another if their MD5 is the same.
+``find``. A text counts as the same as another if their SHA-256 is the same.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import written
+from pageloom.llm.common import free_name, written
 
 COMMON = "zqxjkvbpygfwmucldrhsnioate"  # letters from rare to common; others count as rarest
 MAX_TRIGRAMS = 3  # of an alternative that are looked up
@@ -151,7 +151,7 @@ def rareness(trigram: str) -> tuple:
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    return F.unhex(F.sha2(text, 256))
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -247,14 +247,15 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """``docs`` with every span replaced by ``mark``; overlapping spans become one. ``n_chars`` follows the text."""
     by_text = written(found_by_text(docs, text, rules), "secrets")
     maybe = possible(F.col(text), rules)
-    keyed = docs.where(maybe).withColumn("key_", text_key(F.col(text)))
-    joined_ = keyed.join(by_text.select(F.col("key").alias("key_"), F.col("found").alias("found_")), "key_", "left")
+    key, found = free_name(docs, "key_"), free_name(docs, "found_")
+    keyed = docs.where(maybe).withColumn(key, text_key(F.col(text)))
+    joined_ = keyed.join(by_text.select(F.col("key").alias(key), F.col("found").alias(found)), key, "left")
     replaced = F.expr(
-        f"""aggregate(found_, struct(CAST(0 AS bigint) AS at, '' AS out), (s, x) -> IF(x.start >= s.at,
+        f"""aggregate(`{found}`, struct(CAST(0 AS bigint) AS at, '' AS out), (s, x) -> IF(x.start >= s.at,
         struct(x.end AS at, concat(s.out, substring(`{text}`, CAST(s.at + 1 AS int), CAST(x.start - s.at AS int)), '{mark}') AS out),
         struct(greatest(s.at, x.end) AS at, s.out AS out)), s -> concat(s.out, substring(`{text}`, CAST(s.at + 1 AS int))))"""
     )
-    out = joined_.withColumn(text, F.when(F.col("found_").isNull(), F.col(text)).otherwise(replaced))
+    out = joined_.withColumn(text, F.when(F.col(found).isNull(), F.col(text)).otherwise(replaced))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found_").isNull(), F.col("n_chars")).otherwise(F.char_length(text)))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.char_length(text)))
     return docs.where(~maybe).union(out.select(*docs.columns))

@@ -5,7 +5,8 @@ atoms are the ``2**16`` runs of groups that share its first 16 bits, so their ta
 fixed bound however many groups there are, and no group is ever cut. An atom so large
 that an equal share of what is left would not hold it gets a shard of its own. For the
 others, a binary search finds the smallest capacity with which a greedy pass over the
-atoms, in order, fills no more than the shards that are left; the atoms are cut there.
+atoms, in order, fills no more than the shards that are left; the atoms are cut within that
+capacity, as evenly as the atoms behind a cut allow.
 The search runs over one row that holds the atoms' sizes, in built-in functions.
 
 Rows are numbered within their shard by atom, then identifier. An atom with more than
@@ -39,8 +40,13 @@ PEEL = """aggregate(big, struct(0 AS h, total AS rest, true AS more), (s, x) ->
 FILLED = "aggregate(atoms, struct(1 AS n, 0L AS fill), (s, x) -> IF(s.fill + x.bytes > {c}, struct(s.n + 1 AS n, x.bytes AS fill), struct(s.n AS n, s.fill + x.bytes AS fill))).n"
 SEARCH = """aggregate(sequence(1, 63), struct({low}L AS low, {high}L AS high), (r, i) -> IF(r.low < r.high,
   IF({fits} <= {k}, struct(r.low AS low, (r.low + r.high) DIV 2 AS high), struct((r.low + r.high) DIV 2 + 1 AS low, r.high AS high)), r)).low"""
-CUT = """aggregate(atoms, struct(0L AS fill, CAST(array() AS array<int>) AS cuts), (s, x) -> IF(s.fill + x.bytes > {capacity}L,
-  struct(x.bytes AS fill, concat(s.cuts, array(x.atom)) AS cuts), struct(s.fill + x.bytes AS fill, s.cuts AS cuts))).cuts"""
+REST = FILLED.format(c="{capacity}L").replace("aggregate(atoms,", "aggregate(slice(atoms, s.i, size(atoms)),")
+# A shard ends before the atom that would overfill it, or, if the atoms behind still fit into the shards behind, where
+# it is closest to an equal share of what was left when it began.
+CUT = """aggregate(atoms, struct(1 AS i, 0L AS fill, {rest}L AS left, {k} AS shards, CAST(array() AS array<int>) AS cuts), (s, x) -> IF(
+  s.fill > 0 AND s.shards > 1 AND (s.fill + x.bytes > {capacity}L OR (2 * s.fill + x.bytes) * s.shards > 2 * s.left AND {behind} <= s.shards - 1),
+  struct(s.i + 1 AS i, x.bytes AS fill, s.left - s.fill AS left, s.shards - 1 AS shards, concat(s.cuts, array(x.atom)) AS cuts),
+  struct(s.i + 1 AS i, s.fill + x.bytes AS fill, s.left AS left, s.shards AS shards, s.cuts AS cuts))).cuts"""
 
 
 def cuts(atoms: DataFrame, shards: int) -> Cuts:
@@ -51,10 +57,10 @@ def cuts(atoms: DataFrame, shards: int) -> Cuts:
     row = row.select(F.expr("slice(big, 1, peel.h)").alias("own"), F.expr("array_sort(transform(slice(big, peel.h + 1, size(big)), x -> struct(x.atom AS atom, x.bytes AS bytes)))").alias("atoms"), F.expr(f"{shards} - peel.h").alias("k"), F.col("peel.rest").alias("rest"))
     # Written after each step: an expression that another one repeats for every atom must not be computed anew there.
     row = written(row, "atom_row")
-    limits = row.select("k", F.expr("CAST(ceil(rest / k) AS bigint)").alias("share"), F.expr("coalesce(array_max(transform(atoms, x -> x.bytes)), 0L)").alias("most")).first()
+    limits = row.select("k", "rest", F.expr("CAST(ceil(rest / k) AS bigint)").alias("share"), F.expr("coalesce(array_max(transform(atoms, x -> x.bytes)), 0L)").alias("most")).first()
     bounds = dict(low=max(limits.share, limits.most), high=limits.share + limits.most, k=limits.k)
     capacity = row.select(F.expr(SEARCH.format(fits=FILLED.format(c="(r.low + r.high) DIV 2"), **bounds)).alias("c")).first().c
-    found = row.select(F.expr("transform(own, x -> x.atom)").alias("own"), F.expr(CUT.format(capacity=capacity)).alias("cuts")).first()
+    found = row.select(F.expr("transform(own, x -> x.atom)").alias("own"), F.expr(CUT.format(capacity=capacity, rest=limits.rest, k=limits.k, behind=REST.format(capacity=capacity))).alias("cuts")).first()
     return Cuts(list(found.own), list(found.cuts))
 
 

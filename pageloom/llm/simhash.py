@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import by_text, byte_words, written
+from pageloom.llm.common import by_text, byte_words, free_name, written
 from pageloom.llm.components import components
 
 CODE_BITS, CODE_CHECKS = 15, 4
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: SimHashSettings = SimHashSettings()) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates: of each component the one with the smallest key stays."""
-    mark = "text_hash_"
-    hashed = docs.withColumn(mark, F.xxhash64(text, F.length(text)))
+    mark = free_name(docs, "text_hash_")
+    hashed = docs.withColumn(mark, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     placed = near_duplicates(hashed, key, text, settings, (mark,))
     first = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col(mark)))
     chosen = placed.groupBy("root").agg(first.alias("first"))

@@ -29,7 +29,7 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 LOWERED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-MEMORY = 100_000  # pieces of a generation
+MEMORY = 150_000  # pieces of a generation
 
 
 def byte_table() -> dict[int, str]:
@@ -39,31 +39,23 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class Pieces:
-    """Pieces to their ids as bytes, filled by the library."""
+class Pieces(dict):
+    """Pieces of the young generation to their ids as bytes, filled by the library."""
 
     def __init__(self, model, wide: bool):
-        self.model, self.kind, self.table = model, "I" if wide else "H", byte_table()
-        self.young: dict[str, bytes] = {}
+        super().__init__()
+        self.tokenize, self.kind, self.table = model.tokenize, "I" if wide else "H", byte_table()
         self.old: dict[str, bytes] = {}
 
-    def encode(self, found: list[str]) -> bytes:
-        """Ids of the pieces, one after the other."""
-        ids = list(map(self.young.get, found))
-        if None in ids:
-            for i, piece in enumerate(found):
-                if ids[i] is None:
-                    ids[i] = self.young.get(piece) or self._learned(piece)
-        return b"".join(ids)
-
-    def _learned(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
-            ids = array(self.kind, [t.id for t in self.model.tokenize(shown)]).tobytes()
-        if len(self.young) >= MEMORY:
-            self.old, self.young = self.young, {}
-        self.young[piece] = ids
+            ids = array(self.kind, [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -99,7 +91,7 @@ class Encoder:
 
     def _by_pieces(self, text: str) -> np.ndarray:
         found = self.rule.findall(text.lower() if self.lower else text)
-        return np.frombuffer(self.pieces.encode(found), dtype=self.dtype)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), dtype=self.dtype)
 
     def _by_library(self, text: str) -> np.ndarray:
         text = text.encode("utf-8", "replace").decode("utf-8")

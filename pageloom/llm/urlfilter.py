@@ -6,8 +6,8 @@ middle of a segment of the URL. Of the rules that fit, the one with the longest
 path together wins, then the one with the longer host, then ``block``.
 
 The trie is broadcast if the rules are few enough (``max_rules``, ``max_chars``, both
-counted first); beyond that, hosts and their parent domains are joined with the rules,
-which gives the same answer.
+counted first); beyond that, hosts, their parent domains and the beginnings of paths are
+joined with the rules, which gives the same answer.
 
 Defined results: a null URL or one without ``://`` has an empty host and path. Where no
 rule fits, the verdict is ``default``, or ``block`` for an empty host. A null host or
@@ -126,14 +126,19 @@ def host_of(url: Column) -> Column:
 
 
 def joined(pages: DataFrame, rules: DataFrame, keep: tuple[str, ...], url: str, default: str) -> DataFrame:
-    """The same by a join, for rules of any number: each host and parent domain meets the rules it has."""
+    """The same by a join, for rules of any number: each host and parent domain, with each beginning of
+    the path that is as long as some rule's, meets the one rule it equals. The lengths that occur
+    are collected; there are no more of them than the longest path has characters."""
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     text = F.coalesce(F.col(url), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row_"), *keep, host_of(text).alias("host"), F.regexp_extract(text, r"(?s)^.*?://[^/?#]*([^?#]*)", 1).alias("path"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = rows.select("*", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))).alias("host_"))
+    hosts = rows.select("row_", "path", F.explode(F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))).alias("host_"))
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    parts = hosts.select("row_", "host_", F.explode(F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))).alias("path_"))
     r = rules.select(F.col("host").alias("host_"), F.col("path").alias("path_"), "action")
-    hit = hosts.join(r, "host_").where(F.col("path").startswith(F.col("path_")))
+    hit = parts.join(r, ["host_", "path_"])
     order = F.struct(F.length("host_") + F.length("path_"), F.length("host_"), F.col("action") == "block")
     best = hit.groupBy("row_").agg(F.max_by(F.struct(F.concat("host_", "path_").alias("rule"), "action"), order).alias("best"))
     verdict = F.coalesce("best.action", F.when(F.col("host") == "", "block").otherwise(default))
