@@ -29,7 +29,7 @@ ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACED = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 LOWERED = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
-MEMORY = 150_000  # pieces of a generation
+MEMORY = 250_000  # pieces of a generation
 
 
 def byte_table() -> dict[int, str]:
@@ -50,7 +50,10 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
+            if piece.isascii() and piece[1:].isalpha() and piece[0] >= " ":  # a word: only a blank in front of it changes
+                shown = "Ġ" + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode("utf-8").decode("latin-1").translate(self.table)
             ids = array(self.kind, [t.id for t in self.tokenize(shown)]).tobytes()
         if len(self) >= MEMORY:
             self.old = dict(self)
