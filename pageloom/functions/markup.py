@@ -11,6 +11,8 @@ import re
 from html.entities import html5
 from html.parser import HTMLParser
 
+from pageloom.functions.selectors import Chain, Matcher, compile_selector
+
 # Elements that never have content, elements whose text is not page text,
 # and elements that keep their blanks.
 VOID_TAGS = frozenset(
@@ -20,64 +22,23 @@ VOID_TAGS = frozenset(
 HIDDEN_TEXT_TAGS = frozenset({"script", "style", "template", "rt", "rp"})
 KEEP_BLANKS_TAGS = frozenset({"pre", "textarea"})
 
-_COMPOUND = re.compile(r"([A-Za-z][A-Za-z0-9-]*)?((?:\.[A-Za-z_][\w-]*|\[[^\]]*\])*)")
-_CONDITION = re.compile(r"""\.([A-Za-z_][\w-]*)|\[([A-Za-z][\w-]*)(\^?=)(?:"([^"]*)"|'([^']*)')\]""")
 _BLANK_PIECE = re.compile("[ \n\t\f\r]+")
 
 
-class Compound:
-    """Tag, classes and attribute tests that one element has to meet."""
-
-    def __init__(self, text: str):
-        match = _COMPOUND.fullmatch(text)
-        conditions = match and match.group(2)
-        if not text or match is None or _CONDITION.sub("", conditions):
-            raise ValueError(f"unsupported selector part: {text!r}")
-        self.tag = (match.group(1) or "").lower()
-        self.classes, self.tests = [], []
-        for name, attribute, operator, double, single in _CONDITION.findall(conditions):
-            if name:
-                self.classes.append(name)
-            else:
-                self.tests.append((attribute.lower(), operator, double or single))
-
-    def matches(self, tag: str, attributes: dict[str, str]) -> bool:
-        if self.tag and self.tag != tag:
-            return False
-        if self.classes:
-            own = attributes.get("class", "").split()
-            if any(name not in own for name in self.classes):
-                return False
-        for name, operator, value in self.tests:
-            own = attributes.get(name)
-            if own is None:
-                return False
-            if operator == "=" and own != value:
-                return False
-            if operator == "^=" and not (value and own.startswith(value)):
-                return False
-        return True
-
-
-def compile_selector(selector: str) -> list[Compound]:
-    """Descendant chain of compounds; other grammar raises ``ValueError``."""
-    parts = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", selector.strip())
-    if not parts:
-        raise ValueError("empty selector")
-    return [Compound(part) for part in parts]
+__all__ = ["PageReader", "compile_selector"]
 
 
 class PageReader(HTMLParser):
     """Collects page text, first heading, title element and matching links of one page."""
 
     def __init__(
-        self, selectors: list[list[Compound]], drop_tags: frozenset[str], collapse_blanks: bool = False
+        self, selectors: list[list[Chain]], drop_tags: frozenset[str], collapse_blanks: bool = False
     ):
         super().__init__(convert_charrefs=False)
-        self.selectors = selectors
+        self.matcher = Matcher(selectors)
         self.drop_tags = drop_tags
         self.collapse_blanks = collapse_blanks
-        self.bare_matches: dict[tuple, tuple] = {}
+        self.bare_matches: dict[str, int] = {}
 
     def updatepos(self, i, j):
         """Line numbers are of no use here."""
@@ -85,8 +46,8 @@ class PageReader(HTMLParser):
 
     def read(self, html: str):
         self.reset()
-        # Open elements: (tag, how far each selector chain has got above and at it).
-        self.open: list[tuple[str, tuple[int, ...]]] = []
+        # Open elements: (tag, bits that chains have reached at it, and at it or above).
+        self.open: list[tuple[str, int, int]] = []
         self.open_tags: dict[str, int] = {}
         self.dropped = self.hidden = self.keep = 0
         self.pending: list[str] = []
@@ -148,11 +109,12 @@ class PageReader(HTMLParser):
     # Elements ---------------------------------------------------------------------
     def _start(self, tag, attributes, stays_open):
         self._flush()
-        reached = self.open[-1][1] if self.open else (0,) * len(self.selectors)
+        _, parent, above = self.open[-1] if self.open else ("", 0, 0)
+        matcher = self.matcher
         if attributes:
             attributes = {name: value or "" for name, value in attributes}
-            hits, here = self._match(tag, attributes, reached)
-            if hits and "href" in attributes:
+            here = matcher.reached(matcher.steps_met(tag, attributes), above, parent)
+            if "href" in attributes and (hits := matcher.selected(here)):
                 self.links.append(
                     {
                         "pos": len(self.links),
@@ -162,32 +124,20 @@ class PageReader(HTMLParser):
                     }
                 )
         else:
-            # Elements without attributes match alike wherever the chains stand alike.
-            known = self.bare_matches.get((tag, reached))
-            if known is None:
-                known = self.bare_matches[tag, reached] = self._match(tag, {}, reached)
-            here = known[1]
+            # Elements without attributes meet the same steps wherever they stand.
+            met = self.bare_matches.get(tag)
+            if met is None:
+                met = self.bare_matches[tag] = matcher.steps_met(tag, {})
+            here = matcher.reached(met, above, parent)
         if not stays_open:
             return
-        self.open.append((tag, here))
+        self.open.append((tag, here, above | here))
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         self._count(tag, 1)
         if tag in ("h1", "title") and tag not in self.captured and not self.dropped:
             self.captured[tag] = []
             self.capturing[len(self.open)] = tag
 
-    def _match(self, tag, attributes, reached):
-        """Selectors the element meets, and how far each chain has got with it."""
-        hits, here = [], list(reached)
-        for index, chain in enumerate(self.selectors):
-            done = reached[index]
-            if done == len(chain) - 1:
-                if chain[-1].matches(tag, attributes):
-                    hits.append(index)
-            elif chain[done].matches(tag, attributes):
-                here[index] += 1
-        return hits, tuple(here)
-
     def _count(self, tag, change):
         if tag in self.drop_tags:
             self.dropped += change
@@ -209,7 +159,7 @@ class PageReader(HTMLParser):
             return
         while True:
             self.capturing.pop(len(self.open), None)
-            name, _ = self.open.pop()
+            name, *_ = self.open.pop()
             self.open_tags[name] -= 1
             self._count(name, -1)
             if name == tag:

@@ -8,6 +8,7 @@ allow, reduce them to one row per URL, take away what is known, and write the re
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -81,13 +82,14 @@ def lookup(
 
 
 def page_graph(
-    pages: DataFrame, seeds: DataFrame, config: CrawlConfig, scratch: Scratch
+    pages: DataFrame, seeds: DataFrame, config: CrawlConfig, scratch: Scratch, parse: Callable = parse_pages
 ) -> LinkGraph:
     """Parse the pages the crawls can reach and write them bucketed by URL.
 
     One pass over the markup yields text, titles and links. Where links must stay on
     their base's host, pages of other hosts are left out before they are parsed, unless
-    ``config.only_base_hosts`` is off. The result is the same either way.
+    ``config.only_base_hosts`` is off. The result is the same either way. ``parse`` stands in
+    for ``parse_pages``, as a parse store does.
     """
     buckets = config.buckets or bucket_count(pages.sparkSession, input_bytes(pages))
     if config.same_domain and config.only_base_hosts:
@@ -100,7 +102,7 @@ def page_graph(
         error.alias("fetch_error"),
         F.when(error.isNull(), F.col("html")).alias("html"),
     )
-    parsed = lk.with_page_links(parse_pages(fetched, config), config)
+    parsed = lk.with_page_links(parse(fetched, config), config)
     record = F.struct(
         F.coalesce("fetch_error", "parse_error").alias("error"),
         tx.clean_text(F.col("raw_text")).alias("text"),
@@ -252,10 +254,11 @@ def _write_frontier(found: DataFrame, order: str, scratch: Scratch) -> DataFrame
 class Traversal:
     """``visited`` has ``crawl_id, url, level, parent_url, path, base_url, scraped, error``. ``tree``
     has the scraped ones with ``ord``, a long that rises with the order of the tree within a
-    level, and ``parent_ord``, that of the parent in the level above."""
+    level, and ``parent_ord``, that of the parent in the level above. ``depth`` is the last level."""
 
     visited: DataFrame
     tree: DataFrame
+    depth: int
 
 
 def traverse(
@@ -298,7 +301,7 @@ def traversal(
         checked.select(*visited.columns, error.isNull().alias("scraped"), error.alias("error")), "visited"
     )
     tree = written.where("scraped").drop("scraped", "error")
-    return Traversal(written.drop("ord", "parent_ord"), tree)
+    return Traversal(written.drop("ord", "parent_ord"), tree, len(rounds) - 1)
 
 
 def numbers_urls(seeds: DataFrame, max_depth: int, config: CrawlConfig) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,14 @@ def title(heading_: Column, base_url: Column) -> Column:
     return F.coalesce(heading_, slug_title(base_url))
 
 
-def page_records(pages: DataFrame, config: CrawlConfig, base_url: Column | None = None) -> DataFrame:
+def page_records(pages: DataFrame, config: CrawlConfig, base_url: Column | None = None, parse: Callable = parse_pages) -> DataFrame:
     """``url, text, title, error`` and the other input columns of each page.
 
     Each page counts as its own base unless ``base_url`` names another. A page whose
-    markup is rejected keeps its row, with the ``error`` and neither text nor title.
+    markup is rejected keeps its row, with the ``error`` and neither text nor title. ``parse``
+    stands in for ``parse_pages``, as a parse store does.
     """
-    parsed = parse_pages(pages, config.with_(menu_selectors=(), priority_selectors=()))
+    parsed = parse(pages, config.with_(menu_selectors=(), priority_selectors=()))
     base = F.col("url") if base_url is None else base_url
     named = title(heading(F.col("h1"), F.col("title_tag")), base)
     return (

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pageloom.config import MIN_PRIORITY_LINKS, CrawlConfig
 from pageloom.functions import urls
+from pageloom.operators.exclusions import excluded_urls
+from pageloom.sources.scratch import Scratch
 
 KEEP = "keep"
 
@@ -97,8 +99,9 @@ def link_rows(with_links: DataFrame) -> DataFrame:
     return exploded.select("src_url", "pos", "url", (F.col("pos") < F.col("n_priority")).alias("is_priority"))
 
 
-def _rules(url: Column, base_url: Column, config: CrawlConfig) -> list[tuple[str, Column]]:
-    """Names and failure conditions in the order in which they are tried."""
+def _rules(url: Column, base_url: Column, config: CrawlConfig, in_table: Column | None = None) -> list[tuple[str, Column]]:
+    """Names and failure conditions in the order in which they are tried. ``in_table`` says whether an
+    exclusion table has the URL."""
     rules = []
     if config.same_domain:
         rules.append(("domain", ~urls.same_domain(url, urls.netloc(base_url))))
@@ -106,6 +109,8 @@ def _rules(url: Column, base_url: Column, config: CrawlConfig) -> list[tuple[str
         rules.append(("invalid", ~urls.is_valid_url(url)))
     if config.excluded_paths:
         rules.append(("excluded", urls.has_excluded_path(url, config.excluded_paths)))
+    if in_table is not None:
+        rules.append(("excluded", in_table))
     if config.same_domain:
         rules.append(("fragment_query", urls.has_fragment_or_query(url)))
     if config.prefix != "off":
@@ -115,10 +120,10 @@ def _rules(url: Column, base_url: Column, config: CrawlConfig) -> list[tuple[str
 
 
 def verdict(
-    url: Column, base_url: Column, config: CrawlConfig, visited: Column | None = None
+    url: Column, base_url: Column, config: CrawlConfig, visited: Column | None = None, in_table: Column | None = None
 ) -> Column:
     """Name of the first rule a link fails, or 'keep'."""
-    rules = _rules(url, base_url, config)
+    rules = _rules(url, base_url, config, in_table)
     if visited is not None:
         rules.insert(0, ("visited", visited))
     chain = reduce(lambda c, rule: c.when(rule[1], rule[0]), rules[1:], F.when(rules[0][1], rules[0][0]))
@@ -170,6 +175,14 @@ def link_verdicts(
     )
 
 
+def table_verdicts(links: DataFrame, entries: DataFrame, config: CrawlConfig, scratch: Scratch, base_url: Column | None = None) -> DataFrame:
+    """``link_verdicts`` with a table of excluded ``entry`` besides the literals, of any size."""
+    base = F.col("src_url") if base_url is None else base_url
+    hits = excluded_urls(links, entries, scratch).withColumn("in_table", F.lit(True))
+    met = links.join(hits, "url", "left")
+    return met.withColumn("verdict", verdict(F.col("url"), base, config, in_table=F.coalesce("in_table", F.lit(False)))).drop("in_table")
+
+
 def ranked_links(links: Column, config: CrawlConfig) -> Column:
     """Array of links in visiting order: more path segments first, then by URL."""
     keyed = F.transform(

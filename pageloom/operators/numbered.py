@@ -77,8 +77,8 @@ def number(links: DataFrame, heavy: DataFrame | None, seeds: DataFrame, config:
     bases = seeds.select(_place(base, config).alias("place"), urls.base_prefix(base, config.prefix).alias("prefix")).distinct()
     marks = F.array(F.struct(mark.alias("key"), F.lit(BEFORE).alias("kind")), F.struct(F.concat(mark, F.lit(b"\xff")).alias("key"), F.lit(AFTER).alias("kind")))
     rows = rows.unionByName(bases.select("place", F.inline(marks), "prefix"))
-    # Written first: range partitioning reads its input twice.
-    ordered = scratch.write_ordered(scratch.write(rows, "url_keys"), "urls", ["place", "key", "kind"])
+    # Range partitioning reads its input twice, here from the shuffle that made the URLs distinct.
+    ordered = scratch.write_ordered(rows, "urls", ["place", "key", "kind"])
     url = F.col("key").cast("string")
     segments = urls.segment_count(url) if config.sort_by_depth else F.lit(0)
     named = ordered.where(F.col("kind") == URL).select(F.col("ord").alias("id"), url.alias("url"), segments.alias("segments"))
@@ -96,7 +96,7 @@ def number(links: DataFrame, heavy: DataFrame | None, seeds: DataFrame, config:
     apart = None
     if heavy is not None:
         apart = scratch.write(numbered(heavy).select("id", F.array("link").alias("links")), "heavy_neighbours")
-    return NumberedGraph(named, scratch.write(low.join(high, ["place", "prefix"]), "ranges"), stored, apart, buckets)
+    return NumberedGraph(named, low.join(high, ["place", "prefix"]), stored, apart, buckets)
 
 
 def start(seeds: DataFrame, known: DataFrame | None, graph: NumberedGraph, config: CrawlConfig, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:

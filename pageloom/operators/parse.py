@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pageloom.config import CrawlConfig
-from pageloom.functions import markup
+from pageloom.functions import markup, selectors as css
 from pageloom.functions.markup import PageReader, compile_selector
 
 # The reader travels with the task, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(markup)
+cloudpickle.register_pickle_by_value(css)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Pages parsed and sent back together, which bounds what a task holds.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.config import CrawlConfig
 from pageloom.functions import text as tx
+from pageloom.operators.layout import LayoutSettings, laid_out
 from pageloom.operators.ordinals import with_ordinal
 from pageloom.operators.tree import with_preorder_rank
 from pageloom.sources.scratch import Scratch
@@ -19,6 +20,7 @@ TITLE_LINE = "Web Scraper Output"
 DOTS_WIDTH = 50
 INDENT_MM = 10
 CONTENTS_PAGE = 3
+CONTENTS_HEADING = "Table of Contents"
 
 
 # --- text ------------------------------------------------------------------------------
@@ -132,11 +134,23 @@ def title_page(summary: DataFrame, bases: DataFrame, generated_at: datetime) ->
     return rows.withColumn("line_no", F.col("line_no") + 1)
 
 
-def contents(nodes: DataFrame, scratch: Scratch | None = None, page_numbers: str = "reference") -> DataFrame:
+def laid_out_nodes(ranked: DataFrame, config: CrawlConfig, scratch: Scratch, layout: LayoutSettings = LayoutSettings()) -> DataFrame:
+    """Ranked nodes with ``first_page`` and ``last_page`` of a document whose title page is followed by
+    as many contents pages as its entries fill; a node's heading, URL and body lines fill its pages."""
+    counted = ranked.withColumn("lines", F.size(_body(config)) + 2)
+    narrow = laid_out(counted.select("crawl_id", "rank", "lines"), "crawl_id", ["rank"], "lines", scratch, layout)
+    entries = narrow.groupBy("crawl_id").agg(F.ceil(F.count("*") / layout.contents_lines).alias("contents_pages"))
+    before = F.col("contents_pages") + 1
+    pages = narrow.join(entries, "crawl_id").select("crawl_id", "rank", (F.col("first_page") + before).alias("first_page"), (F.col("last_page") + before).alias("last_page"))
+    return ranked.join(pages, ["crawl_id", "rank"])
+
+
+def contents(nodes: DataFrame, scratch: Scratch | None = None, page_numbers: str = "reference", heading: bool = False) -> DataFrame:
     """Table of contents: ``crawl_id, path, indent_mm, entry``.
 
-    Page numbers are either the fixed one that follows a one-page table ('reference') or
-    each node's own page ('ordinal').
+    Page numbers are the fixed one that follows a one-page table ('reference'), each node's
+    place ('ordinal') or the page it starts on ('laid_out', for ``laid_out_nodes``). With
+    ``heading`` each table begins with its heading, whose path is empty.
     """
     if page_numbers == "reference":
         page = F.lit(CONTENTS_PAGE)
@@ -144,11 +158,18 @@ def contents(nodes: DataFrame, scratch: Scratch | None = None, page_numbers: str
         if "rank" not in nodes.columns:
             nodes = with_preorder_rank(nodes.select("crawl_id", "path", "title", "level"), scratch)
         page = F.col("rank") + 2
+    elif page_numbers == "laid_out":
+        page = F.col("first_page")
     else:
-        raise ValueError("page_numbers must be 'reference' or 'ordinal'")
+        raise ValueError("page_numbers must be 'reference', 'ordinal' or 'laid_out'")
     width = F.lit(DOTS_WIDTH) - F.length("title") - F.col("level") * 2
     dots = F.repeat(F.lit("."), F.greatest(F.lit(0), width))
     entry = F.concat(F.col("title"), F.lit(" "), dots, F.lit(" "), page.cast("string"))
-    return nodes.select(
+    rows = nodes.select(
         "crawl_id", "path", (F.col("level") * INDENT_MM).alias("indent_mm"), entry.alias("entry")
     )
+    if not heading:
+        return rows
+    nothing = F.array().cast("array<string>").alias("path")
+    heads = nodes.select("crawl_id").distinct().select("crawl_id", nothing, F.lit(0).alias("indent_mm"), F.lit(CONTENTS_HEADING).alias("entry"))
+    return heads.unionByName(rows)

@@ -78,15 +78,16 @@ def _among_siblings(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def with_tree_numbers(tree: DataFrame, scratch: Scratch) -> DataFrame:
-    """Number the scraped rows of a traversal, ``tree``, with longs alone.
+def with_tree_numbers(tree: DataFrame, scratch: Scratch, depth: int | None = None) -> DataFrame:
+    """Number the scraped rows of a traversal, ``tree``, with longs alone. ``depth`` is its last level.
 
     Adds ``rank`` (place in preorder, from 1), ``size`` (of the subtree), ``post`` (place in
     postorder), ``child_no``, ``is_last`` (among its siblings) and ``roots`` (of its crawl). A
     node's descendants are the ranks from its own to ``rank + size - 1``. Sizes are summed from
     the lowest level up, ranks handed down from the top: each level meets only the next one.
     """
-    depth = tree.agg(F.max("level")).first()[0] or 0
+    if depth is None:
+        depth = tree.agg(F.max("level")).first()[0] or 0
     places = _among_siblings(_sizes(tree, depth, scratch), scratch)
     above, levels = None, []
     for level in range(depth + 1):

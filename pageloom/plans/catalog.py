@@ -16,10 +16,13 @@ from pageloom.operators import links as lk
 from pageloom.operators import report as rp
 from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
+from pageloom.operators.layout import LayoutSettings
 from pageloom.operators.parse import parse_pages
 from pageloom.plans import rewritten
 from pageloom.plans.site import SiteCrawl, crawl_site, write_outputs
+from pageloom.sources.indexed import IndexedSnapshot, write_snapshot
 from pageloom.sources.packed import read_index, read_packed, write_packed
+from pageloom.sources.parsed import ParseStore
 from pageloom.sources.scratch import Scratch
 from pageloom.sources.snapshots import page_lookup, read_pages, spread
 
@@ -301,8 +304,8 @@ def _store_nodes(spark, sf_dir) -> DataFrame:
 def _store_numbered(spark, sf_dir) -> DataFrame:
     """Nodes with tree numbers."""
     seeds, edges, records = _store(spark, sf_dir)
-    tree = _traversal(spark, seeds, edges, records.select("url"), 2, STORE).tree
-    return cr.named_nodes(tr.with_tree_numbers(tree, Scratch(spark)), records)
+    walked = _traversal(spark, seeds, edges, records.select("url"), 2, STORE)
+    return cr.named_nodes(tr.with_tree_numbers(walked.tree, Scratch(spark), walked.depth), records)
 
 
 def _visited_columns(visited: DataFrame) -> DataFrame:
@@ -405,6 +408,17 @@ def contents_numbered(spark, sf_dir):
     return rows.select("crawl_id", shown_path(), "indent_mm", "entry")
 
 
+# So few lines a page that customers take two pages, and contents several.
+SHORT_PAGES = LayoutSettings(lines=3, contents_lines=40)
+
+
+def contents_laid_out(spark, sf_dir):
+    scratch = Scratch(spark)
+    nodes = rp.laid_out_nodes(scratch.write(_store_numbered(spark, sf_dir), "nodes"), STORE, scratch, SHORT_PAGES)
+    rows = rp.contents(nodes, page_numbers="laid_out", heading=True)
+    return rows.select("crawl_id", shown_path(), "indent_mm", "entry")
+
+
 def report_pages(spark, sf_dir):
     return rp.tree_pages(_store_numbered(spark, sf_dir), STORE)
 
@@ -464,6 +478,39 @@ def flat_outputs(spark, sf_dir):
     return texts.groupBy("crawl_id").agg(F.sum("length").alias("bytes"))
 
 
+# --- sources ---------------------------------------------------------------------------
+
+
+def _snapshot(spark, sf_dir) -> IndexedSnapshot:
+    folder = Scratch(spark).folder
+    write_snapshot(pages_of(spark, sf_dir), folder)
+    return IndexedSnapshot(spark, folder)
+
+
+def indexed_content(spark, sf_dir):
+    """Every fifth page, crawled alone from an indexed snapshot, which reads those pages only."""
+    wanted = table(spark, sf_dir, "pages").where("page_id % 5 = 0")
+    crawl = crawl_site(_snapshot(spark, sf_dir), wanted.select(F.col("url").alias("crawl_id"), "url"), 0, RAW)
+    nodes = crawl.nodes.select("crawl_id", "url", "title", "text")
+    return wanted.select("page_id", "url").join(nodes, "url")
+
+
+def indexed_hosts(spark, sf_dir):
+    """Pages of the hosts of every tenth page, found through the index."""
+    host = urls.netloc(F.col("url")).alias("host")
+    found = _snapshot(spark, sf_dir).of_hosts(table(spark, sf_dir, "pages").where("page_id % 10 = 0").select(host))
+    return found.select("page_id", "url", "host", F.octet_length("html").cast("bigint").alias("bytes"))
+
+
+def parsed_content(spark, sf_dir):
+    """Page records by way of a parse store that already holds every second page."""
+    pages, store = pages_of(spark, sf_dir), ParseStore(spark, Scratch(spark).folder)
+    config = docs_config(menu_selectors=(), priority_selectors=())
+    store.parse(pages.where("page_id % 2 = 0"), config)
+    records = ex.page_records(pages, config, parse=store.parse)
+    return records.select("page_id", "url", "text", "title")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -502,10 +549,14 @@ QUERIES = {
         tree_text,
         contents,
         contents_numbered,
+        contents_laid_out,
         report_pages,
         flat_text,
         report_pages_flat,
         report_pages_plain,
+        indexed_content,
+        indexed_hosts,
+        parsed_content,
         packed_outputs,
         packed_lines,
         flat_outputs,

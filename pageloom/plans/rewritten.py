@@ -15,6 +15,7 @@ from pageloom.operators import links as lk
 from pageloom.operators import summary as sm
 from pageloom.operators.parse import parse_pages
 from pageloom.plans.site import SiteCrawl, crawl_site
+from pageloom.sources.scratch import Scratch
 from pageloom.sources.snapshots import page_lookup, read_pages
 
 CONFIG = docs_config(links_from="raw", prefix="seed")
@@ -73,6 +74,26 @@ def rewritten_links(spark, sf_dir):
     return rows.select("src_url", "url", (F.col("pos") < F.col("n")).alias("is_priority"), verdict)
 
 
+def rewritten_exclusions(spark, sf_dir):
+    """Verdicts with a table of excluded entries besides the literal ones: paths of every third part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 0")
+    entries = part.select(F.concat(F.lit("/p"), F.col("p_partkey").cast("string")).alias("entry"))
+    links = rewritten_links(spark, sf_dir).select("src_url", "url")
+    site = F.regexp_extract("src_url", "^https://[^/]*/docs/", 0)
+    return lk.table_verdicts(links, entries, CONFIG, Scratch(spark), site).select("src_url", "url", "verdict")
+
+
+SELECTORS = docs_config(
+    links_from="raw", prefix="seed", priority_selectors=(), menu_selectors=('div.toc > a[href^="../"], p > a[href]', "#none a", "nav > a")
+)
+
+
+def rewritten_selectors(spark, sf_dir):
+    """Links of child steps, attribute tests and selector lists."""
+    found = lk.with_page_links(parse_pages(pages(spark, sf_dir), SELECTORS), SELECTORS)
+    return found.select(F.col("url").alias("src_url"), F.explode("links").alias("url"))
+
+
 def rewritten_verdict_counts(spark, sf_dir):
     links = rewritten_links(spark, sf_dir)
     return links.groupBy("verdict", "is_priority").agg(F.count("*").alias("links"))
@@ -99,4 +120,4 @@ def rewritten_failures(spark, sf_dir):
     return sm.retryable_failures(crawl.failures)
 
 
-QUERIES = {q.__name__: q for q in (rewritten_links, rewritten_verdict_counts, rewritten_lookup, rewritten_crawl, rewritten_failures)}
+QUERIES = {q.__name__: q for q in (rewritten_links, rewritten_selectors, rewritten_exclusions, rewritten_verdict_counts, rewritten_lookup, rewritten_crawl, rewritten_failures)}

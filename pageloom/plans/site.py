@@ -10,14 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.config import CrawlConfig
+from pageloom.functions import urls
 from pageloom.operators import crawl as cr
+from pageloom.operators import numbered as nb
 from pageloom.operators import report as rp
 from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
+from pageloom.operators.parse import parse_pages
 from pageloom.sources import sinks
+from pageloom.sources.indexed import IndexedSnapshot
 from pageloom.sources.journal import Journal, fingerprint
 from pageloom.sources.packed import write_packed
-from pageloom.sources.scratch import Scratch
+from pageloom.sources.parsed import ParseStore
+from pageloom.sources.scratch import Scratch, bucket_count
 
 LAYOUTS = ("tree", "flat")
 FORMATS = {"text": ("text",), "pdf": ("pdf",), "json": ("json",), "both": ("text", "pdf", "json")}
@@ -36,10 +41,13 @@ class SiteCrawl:
     graph: cr.LinkGraph
     scratch: Scratch
     seeds: DataFrame
-    visited: DataFrame
-    tree: DataFrame
+    walked: cr.Traversal
     rejected: DataFrame
 
+    @property
+    def visited(self) -> DataFrame:
+        return self.walked.visited
+
     @cached_property
     def nodes(self) -> DataFrame:
         """``crawl_id, url, title, level, parent_url, path, text``."""
@@ -48,7 +56,7 @@ class SiteCrawl:
     @cached_property
     def ranked_nodes(self) -> DataFrame:
         """Nodes with their tree numbers; numbered before text is attached."""
-        ranked = tr.with_tree_numbers(self.tree, self.scratch)
+        ranked = tr.with_tree_numbers(self.walked.tree, self.scratch, self.walked.depth)
         return cr.page_nodes(ranked, self.graph, self.config)
 
     @cached_property
@@ -76,21 +84,33 @@ class SiteCrawl:
         return self.seeds.groupBy("crawl_id").agg(F.min("base_url").alias("base_url"))
 
 
+def _needed(snapshot: IndexedSnapshot, seeds: DataFrame, max_depth: int, config: CrawlConfig) -> DataFrame:
+    """Pages of an indexed snapshot that a crawl may come to."""
+    if not max_depth:
+        return snapshot.of_urls(seeds)
+    if not (config.same_domain and config.only_base_hosts and nb.applies(seeds, config)):
+        return snapshot.all()
+    both = seeds.select(F.explode(F.array("url", "base_url")).alias("url"))
+    return snapshot.of_hosts(both.select(urls.netloc(F.col("url")).alias("host")))
+
+
 def crawl_site(
-    pages: DataFrame,
+    pages: DataFrame | IndexedSnapshot,
     seeds: DataFrame,
     max_depth: int = 0,
     config: CrawlConfig | None = None,
     known: DataFrame | None = None,
     strict: bool = False,
     journal: str | None = None,
+    parse_store: str | None = None,
 ) -> SiteCrawl:
     """Crawl stored pages from ``seeds(crawl_id, url[, base_url])`` to ``max_depth``.
 
     ``pages`` has ``url, html`` and may have ``page_id, status, timed_out``. ``known``
     lists pages visited by earlier runs. With ``strict`` a failed seed raises. ``journal``
     names a folder that keeps what a run has finished: the same call made again, also with
-    a greater depth, goes on from there.
+    a greater depth, goes on from there. ``parse_store`` names a folder that keeps what pages
+    were parsed to, for later runs over pages that are mostly the same.
     """
     config = config or CrawlConfig()
     seeds = cr.seed_rows(seeds)
@@ -98,13 +118,20 @@ def crawl_site(
         scratch = Scratch(pages.sparkSession)
     else:
         numbered = cr.numbers_urls(seeds, max_depth, config)
-        scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, pages, seeds, known))
+        stands_for = pages.fingerprint if isinstance(pages, IndexedSnapshot) else pages
+        scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, stands_for, seeds, known))
+    buckets = config.buckets
+    if isinstance(pages, IndexedSnapshot):
+        # The optimizer does not know the size of pages that come by an index.
+        buckets = buckets or bucket_count(pages.sparkSession, pages.bytes if max_depth else None)
+        pages = _needed(pages, seeds, max_depth, config)
+    parse = ParseStore(pages.sparkSession, parse_store).parse if parse_store else parse_pages
     try:
-        graph = cr.page_graph(pages, seeds, config, scratch)
+        graph = cr.page_graph(pages, seeds, config.with_(buckets=buckets), scratch, parse)
         walked = cr.traversal(seeds, graph, max_depth, config, scratch, known)
     finally:
         scratch.release()
-    crawl = SiteCrawl(config, max_depth, graph, scratch, seeds, walked.visited, walked.tree, cr.rejected_seeds(seeds))
+    crawl = SiteCrawl(config, max_depth, graph, scratch, seeds, walked, cr.rejected_seeds(seeds))
     if strict:
         failed = crawl.visited.where((F.col("level") == 0) & ~F.col("scraped")).select("url", "error")
         first = failed.unionByName(crawl.rejected.select("url", "error")).first()
@@ -149,7 +176,8 @@ def write_outputs(
         title_rows = rp.title_page(crawl.summary, crawl.bases, when)
         sinks.write_table(title_rows, ["crawl_id", "line_no"], f"{folder}/pages/title_page")
         if layout == "tree":
-            sinks.write_table(rp.contents(crawl.nodes), ["crawl_id", "path"], f"{folder}/pages/contents")
+            table = rp.contents(crawl.nodes, heading=True)
+            sinks.write_table(table, ["crawl_id", "path"], f"{folder}/pages/contents")
             pages = rp.tree_pages(crawl.ranked_nodes, crawl.config)
         else:
             numbered = rp.number_pages(cr.scraped_rows(crawl.visited), crawl.scratch)

@@ -88,12 +88,15 @@ class Journal(Scratch):
         self.files.rename(new, self._path(MANIFEST), over)
 
 
-def fingerprint(config: CrawlConfig, numbered: bool, pages: DataFrame, *rows: DataFrame | None) -> str:
+def fingerprint(config: CrawlConfig, numbered: bool, pages: DataFrame | str, *rows: DataFrame | None) -> str:
     """Hash of what a crawl's tables depend on: settings, the pages' files or, without files,
-    their plan's rows, and the rows of the small inputs, in any order."""
-    files = sorted(pages.inputFiles())
-    parts = [json.dumps(asdict(config), sort_keys=True), str(numbered), pages.schema.simpleString()]
-    parts += files or [_rows_hash(pages)]
+    their plan's rows, and the rows of the small inputs, in any order. ``pages`` may be a text that
+    stands for them."""
+    parts = [json.dumps(asdict(config), sort_keys=True), str(numbered)]
+    if isinstance(pages, str):
+        parts.append(pages)
+    else:
+        parts += [pages.schema.simpleString(), *(sorted(pages.inputFiles()) or [_rows_hash(pages)])]
     parts += ["none" if r is None else _rows_hash(r) for r in rows]
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 

@@ -75,6 +75,7 @@ class Written(WriterCommitMessage):
 
     indexes: list[str] = field(default_factory=list)
     files: list[str] = field(default_factory=list)
+    spans: list[list[str | None]] = field(default_factory=list)  # first and last key of each index file
     rows: int = 0
     bytes: int = 0
 
@@ -82,7 +83,8 @@ class Written(WriterCommitMessage):
 class TaskFiles:
     """Data and index files of one task attempt."""
 
-    def __init__(self, folder: str, run: str, part: int, file_bytes: int, block_bytes: int):
+    def __init__(self, folder: str, run: str, part: int, file_bytes: int, block_bytes: int, index: pa.Schema = INDEX, ending: str = ".txt"):
+        self.schema, self.ending = index, ending
         self.store, root = opened(folder)
         self.root, self.run, self.part = root, run, part
         self.name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
@@ -90,55 +92,64 @@ class TaskFiles:
         self.store.create_dir(f"{root}/{run}", recursive=True)
         self.message = Written()
         self.data, self.size, self.index, self.rows = None, 0, None, []
-        self.crawl, self.start, self.nr = None, None, 0
+        self.crawl, self.start, self.nr, self.more = None, None, 0, ()
 
-    def add(self, crawl: str | None, text: bytes) -> None:
-        """Append a text; ranges end where the crawl, the block or the file does."""
+    def add(self, crawl: str | None, text: bytes, more: tuple = ()) -> None:
+        """Append a text; ranges end where the crawl, the block or the file does. ``more`` goes into the
+        index's further columns."""
         if self.start is not None and (crawl != self.crawl or self.size - self.start >= self.block_bytes):
             self.end_range()
         if self.data is not None and self.size >= self.file_bytes:
             self.end_file()
         if self.data is None:
-            name = f"{self.run}/{self.name}-{len(self.message.files):04d}.txt"
+            name = f"{self.run}/{self.name}-{len(self.message.files):04d}{self.ending}"
             self.data, self.size = self.store.open_output_stream(f"{self.root}/{name}"), 0
             self.message.files.append(name)
         if self.start is None:
-            self.crawl, self.start = crawl, self.size
+            self.crawl, self.start, self.more = crawl, self.size, more
         self.data.write(text)
         self.size += len(text)
         self.message.bytes += len(text)
 
     def end_range(self) -> None:
-        if self.start is None:
-            return
-        self.rows.append((self.crawl, self.part, self.nr, self.message.files[-1], self.start, self.size - self.start))
-        self.nr, self.start = self.nr + 1, None
+        if self.start is not None:
+            self.note(self.crawl, self.message.files[-1], self.start, self.size - self.start, self.more)
+            self.start = None
+
+    def note(self, crawl: str | None, file: str | None, offset: int, length: int, more: tuple = ()) -> None:
+        """Add an index row."""
+        self.rows.append((crawl, self.part, self.nr, file, offset, length, *more))
+        self.nr += 1
         if len(self.rows) >= INDEX_ROWS:
             self.write_index()
 
     def end_file(self) -> None:
+        """A data file and the index of what it holds end together."""
         self.end_range()
         if self.data is not None:
             self.data.close()
             self.data = None
+        self.write_index()
+        if self.index is not None:
+            self.index.close()
+            self.index = None
 
     def write_index(self) -> None:
         if not self.rows:
             return
         if self.index is None:
-            name = f"{self.run}/{self.name}.parquet"
-            self.index = pq.ParquetWriter(f"{self.root}/{name}", INDEX, filesystem=self.store)
+            name = f"{self.run}/{self.name}-{len(self.message.indexes):04d}.parquet"
+            self.index = pq.ParquetWriter(f"{self.root}/{name}", self.schema, filesystem=self.store)
             self.message.indexes.append(name)
-        columns = [pa.array(c, t.type) for c, t in zip(zip(*self.rows), INDEX)]
-        self.index.write_table(pa.Table.from_arrays(columns, schema=INDEX))
+            self.message.spans.append([self.rows[0][0], None])
+        columns = [pa.array(c, t.type) for c, t in zip(zip(*self.rows), self.schema)]
+        self.index.write_table(pa.Table.from_arrays(columns, schema=self.schema))
+        self.message.spans[-1][1] = self.rows[-1][0]
         self.message.rows += len(self.rows)
         self.rows = []
 
     def close(self) -> Written:
         self.end_file()
-        self.write_index()
-        if self.index is not None:
-            self.index.close()
         return self.message
 
 
@@ -184,6 +195,7 @@ class PackedWriter(DataSourceArrowWriter):
             "run": self.run,
             "indexes": [x for m in done for x in m.indexes],
             "files": [x for m in done for x in m.files],
+            "spans": [x for m in done for x in m.spans],
             "ranges": sum(m.rows for m in done),
             "bytes": sum(m.bytes for m in done),
         }

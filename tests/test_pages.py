@@ -66,7 +66,7 @@ def test_selectors():
     assert nested[0]["matched"] == [0, 2]
 
 
-@pytest.mark.parametrize("selector", ["a > b", "a:hover", "", "a, b", "[x]", "a[b~='c']", "#id"])
+@pytest.mark.parametrize("selector", ["a >", "a:hover", "", "a,", "> a", "a > > b", "a ~ b", "a + b", "[x", "a[b~='c']", "#", "a,,b"])
 def test_other_selectors_raise(selector):
     with pytest.raises(ValueError):
         compile_selector(selector)
