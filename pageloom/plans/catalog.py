@@ -13,6 +13,7 @@ from pageloom.functions import urls
 from pageloom.operators import crawl as cr
 from pageloom.operators import extract as ex
 from pageloom.operators import links as lk
+from pageloom.operators import repair as rep
 from pageloom.operators import report as rp
 from pageloom.operators import summary as sm
 from pageloom.operators import tree as tr
@@ -372,6 +373,16 @@ def crawl_cyclic(spark, sf_dir):
     return _visited_columns(_traverse(spark, seeds, edges, stored, 4, SUPPLY))
 
 
+def crawl_repaired(spark, sf_dir):
+    """The crawl of ``crawl_cyclic``, repaired after the pages of every seventh part are gone."""
+    seeds, edges, stored = _supply(spark, sf_dir)
+    before = _traverse(spark, seeds, edges, stored, 4, SUPPLY)
+    gone = table(spark, sf_dir, "part").where("p_partkey % 7 = 0").select(_url("/part/", F.col("p_partkey")).alias("url"))
+    left = edges.join(gone.withColumnRenamed("url", "src_url"), "src_url", "left_anti")
+    fixed = rep.repair(before, left, stored.join(gone, "url", "left_anti"), gone, 4, SUPPLY, Scratch(spark))
+    return _visited_columns(fixed.visited)
+
+
 def graph_levels(spark, sf_dir):
     seeds, edges, stored = _supply(spark, sf_dir)
     return sm.level_progress(_traverse(spark, seeds, edges, stored, 4, SUPPLY))
@@ -542,6 +553,7 @@ QUERIES = {
         crawl_hierarchy,
         crawl_incremental,
         crawl_cyclic,
+        crawl_repaired,
         graph_levels,
         tree_nodes,
         tree_children,
