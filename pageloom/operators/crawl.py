@@ -82,14 +82,15 @@ def lookup(
 
 
 def page_graph(
-    pages: DataFrame, seeds: DataFrame, config: CrawlConfig, scratch: Scratch, parse: Callable = parse_pages
+    pages: DataFrame, seeds: DataFrame, config: CrawlConfig, scratch: Scratch, parse: Callable = parse_pages, text: bool = True
 ) -> LinkGraph:
     """Parse the pages the crawls can reach and write them bucketed by URL.
 
     One pass over the markup yields text, titles and links. Where links must stay on
     their base's host, pages of other hosts are left out before they are parsed, unless
     ``config.only_base_hosts`` is off. The result is the same either way. ``parse`` stands in
-    for ``parse_pages``, as a parse store does.
+    for ``parse_pages``, as a parse store does. Without ``text`` only links and errors are kept,
+    which is all that counts and the visited pages need.
     """
     buckets = config.buckets or bucket_count(pages.sparkSession, input_bytes(pages))
     if config.same_domain and config.only_base_hosts:
@@ -103,10 +104,10 @@ def page_graph(
         F.when(error.isNull(), F.col("html")).alias("html"),
     )
     parsed = lk.with_page_links(parse(fetched, config), config)
+    named = [tx.clean_text(F.col("raw_text")).alias("text"), heading(F.col("h1"), F.col("title_tag")).alias("heading")]
     record = F.struct(
         F.coalesce("fetch_error", "parse_error").alias("error"),
-        tx.clean_text(F.col("raw_text")).alias("text"),
-        heading(F.col("h1"), F.col("title_tag")).alias("heading"),
+        *(named if text else []),
         F.filter("links", lambda u: lk.passes_page_rules(u, config)).alias("links"),
     )
     # A snapshot may store a URL many times. The first copy counts, and since copies are
@@ -117,7 +118,7 @@ def page_graph(
         links=stored.where(F.col("error").isNull()).select("url", "links"),
         fetched=stored.select("url", "error"),
         scratch=scratch,
-        pages=stored.where(F.col("error").isNull()).select("url", "text", "heading"),
+        pages=stored.where(F.col("error").isNull()).select("url", "text", "heading") if text else None,
     )
 
 
@@ -362,6 +363,8 @@ def page_nodes(scraped: DataFrame, graph: LinkGraph, config: CrawlConfig) -> Dat
 
     Rank or number the rows before, while they are narrow; further columns stay.
     """
+    if graph.pages is None:
+        raise ValueError("the crawl was made without text")
     found = lookup(scraped, graph.pages, config, graph.scratch)
     named = found.withColumn("title", title(F.col("heading"), F.col("base_url")))
     return named.drop("heading", "base_url")

@@ -195,10 +195,10 @@ def lookup_pages(spark, sf_dir):
 # --- crawls of pages -------------------------------------------------------------------
 
 
-def _page_crawl(spark, sf_dir) -> SiteCrawl:
+def _page_crawl(spark, sf_dir, text: bool = False) -> SiteCrawl:
     pages = pages_of(spark, sf_dir)
     seeds = table(spark, sf_dir, "pages").select(F.col("url").alias("crawl_id"), "url")
-    return crawl_site(pages, seeds, 1, RAW)
+    return crawl_site(pages, seeds, 1, RAW, text=text)
 
 
 def crawl_pages(spark, sf_dir):
@@ -207,7 +207,7 @@ def crawl_pages(spark, sf_dir):
 
 
 def crawl_content(spark, sf_dir):
-    return _page_crawl(spark, sf_dir).nodes.select("crawl_id", "url", "title", "level", "text")
+    return _page_crawl(spark, sf_dir, text=True).nodes.select("crawl_id", "url", "title", "level", "text")
 
 
 def crawl_summary(spark, sf_dir):
@@ -482,7 +482,7 @@ def packed_lines(spark, sf_dir):
 
 def flat_outputs(spark, sf_dir):
     """Text of every page's own crawl, written flat by ``write_outputs`` and read back."""
-    crawl = _page_crawl(spark, sf_dir)
+    crawl = _page_crawl(spark, sf_dir, text=True)
     folder = f"{crawl.scratch.folder}/out"
     write_outputs(crawl, "text", folder, layout="flat", packed=True)
     texts = read_index(spark, f"{folder}/scraped_content")

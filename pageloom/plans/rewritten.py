@@ -108,7 +108,7 @@ def rewritten_lookup(spark, sf_dir):
 def _crawl(spark, sf_dir) -> SiteCrawl:
     stored = pages(spark, sf_dir)
     seeds = stored.select(F.col("url").alias("crawl_id"), "url", "base_url")
-    return crawl_site(stored.drop("base_url"), seeds, 2, CONFIG)
+    return crawl_site(stored.drop("base_url"), seeds, 2, CONFIG, text=False)
 
 
 def rewritten_crawl(spark, sf_dir):

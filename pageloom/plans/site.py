@@ -103,6 +103,7 @@ def crawl_site(
     strict: bool = False,
     journal: str | None = None,
     parse_store: str | None = None,
+    text: bool = True,
 ) -> SiteCrawl:
     """Crawl stored pages from ``seeds(crawl_id, url[, base_url])`` to ``max_depth``.
 
@@ -110,7 +111,8 @@ def crawl_site(
     lists pages visited by earlier runs. With ``strict`` a failed seed raises. ``journal``
     names a folder that keeps what a run has finished: the same call made again, also with
     a greater depth, goes on from there. ``parse_store`` names a folder that keeps what pages
-    were parsed to, for later runs over pages that are mostly the same.
+    were parsed to, for later runs over pages that are mostly the same. Without ``text`` the
+    crawl has no nodes and outputs, only visited pages, links and counts.
     """
     config = config or CrawlConfig()
     seeds = cr.seed_rows(seeds)
@@ -119,7 +121,7 @@ def crawl_site(
     else:
         numbered = cr.numbers_urls(seeds, max_depth, config)
         stands_for = pages.fingerprint if isinstance(pages, IndexedSnapshot) else pages
-        scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, stands_for, seeds, known))
+        scratch = Journal(pages.sparkSession, journal, fingerprint(config, numbered, text, stands_for, seeds, known))
     buckets = config.buckets
     if isinstance(pages, IndexedSnapshot):
         # The optimizer does not know the size of pages that come by an index.
@@ -127,7 +129,7 @@ def crawl_site(
         pages = _needed(pages, seeds, max_depth, config)
     parse = ParseStore(pages.sparkSession, parse_store).parse if parse_store else parse_pages
     try:
-        graph = cr.page_graph(pages, seeds, config.with_(buckets=buckets), scratch, parse)
+        graph = cr.page_graph(pages, seeds, config.with_(buckets=buckets), scratch, parse, text)
         walked = cr.traversal(seeds, graph, max_depth, config, scratch, known)
     finally:
         scratch.release()

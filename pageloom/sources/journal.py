@@ -88,11 +88,11 @@ class Journal(Scratch):
         self.files.rename(new, self._path(MANIFEST), over)
 
 
-def fingerprint(config: CrawlConfig, numbered: bool, pages: DataFrame | str, *rows: DataFrame | None) -> str:
+def fingerprint(config: CrawlConfig, numbered: bool, text: bool, pages: DataFrame | str, *rows: DataFrame | None) -> str:
     """Hash of what a crawl's tables depend on: settings, the pages' files or, without files,
     their plan's rows, and the rows of the small inputs, in any order. ``pages`` may be a text that
     stands for them."""
-    parts = [json.dumps(asdict(config), sort_keys=True), str(numbered)]
+    parts = [json.dumps(asdict(config), sort_keys=True), str((numbered, text))]
     if isinstance(pages, str):
         parts.append(pages)
     else:

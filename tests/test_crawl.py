@@ -234,3 +234,12 @@ def test_empty_pages_schema(spark, site_seeds):
     crawl = crawl_site(spark.createDataFrame([], PAGES_SCHEMA), site_seeds, 1)
     assert [r["scraped"] for r in crawl.visited.collect()] == [False]
     assert crawl.nodes.isEmpty()
+
+
+def test_a_crawl_without_text(spark, site_pages, site_seeds):
+    plain, narrow = (crawl_site(site_pages, site_seeds, 2, text=text) for text in (True, False))
+    for name in ("visited", "summary", "levels", "failures", "links_found"):
+        assert sorted(map(str, getattr(narrow, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+    assert "text" not in narrow.graph.fetched.columns and narrow.graph.pages is None
+    with pytest.raises(ValueError, match="without text"):
+        narrow.nodes  # noqa: B018
