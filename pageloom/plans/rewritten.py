@@ -115,9 +115,24 @@ def rewritten_crawl(spark, sf_dir):
     return _crawl(spark, sf_dir).visited.select("crawl_id", "url", "level", "parent_url", "scraped", "error")
 
 
+def rewritten_cleaned(spark, sf_dir):
+    """Links outside the elements that are dropped."""
+    config = CONFIG.with_(links_from="cleaned")
+    links = lk.link_rows(lk.with_page_links(parse_pages(pages(spark, sf_dir), config), config))
+    return links.select("src_url", "url", "is_priority")
+
+
+def rewritten_deep(spark, sf_dir):
+    """Every tenth page's crawl to depth 4, which numbers its URLs."""
+    stored = pages(spark, sf_dir)
+    seeds = stored.where("page_id % 10 = 0").select(F.col("url").alias("crawl_id"), "url", "base_url")
+    visited = crawl_site(stored.drop("base_url"), seeds, 4, CONFIG, text=False).visited
+    return visited.select("crawl_id", "url", "level", "parent_url", F.array_join("path", " > ").alias("path"), "scraped", "error")
+
+
 def rewritten_failures(spark, sf_dir):
     crawl = _crawl(spark, sf_dir)
     return sm.retryable_failures(crawl.failures)
 
 
-QUERIES = {q.__name__: q for q in (rewritten_links, rewritten_selectors, rewritten_exclusions, rewritten_verdict_counts, rewritten_lookup, rewritten_crawl, rewritten_failures)}
+QUERIES = {q.__name__: q for q in (rewritten_links, rewritten_selectors, rewritten_exclusions, rewritten_verdict_counts, rewritten_lookup, rewritten_cleaned, rewritten_crawl, rewritten_deep, rewritten_failures)}
