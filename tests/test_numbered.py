@@ -70,7 +70,7 @@ def test_numbers_and_urls_give_the_same_pages(spark, settings):
 
 def test_numbers_follow_pages(spark, site_pages):
     seeds = spark.createDataFrame([(p, SITE + p) for p in PAGES], SEEDS_SCHEMA)
-    for config in (CrawlConfig(links_from="raw", prefix="off"), CrawlConfig(), menu_config(links_from="raw", prefix="site")):
+    for config in (CrawlConfig(links_from="raw", prefix="off"), menu_config(links_from="raw", prefix="site")):
         crawls = [crawl_site(site_pages, seeds, 3, config.with_(**way)) for way in (NUMBERED, PLAIN)]
         assert rows(crawls[0].visited) == rows(crawls[1].visited)
 
