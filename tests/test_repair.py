@@ -72,3 +72,23 @@ def test_a_chain_that_is_cut_and_joined(spark):
         changed = spark.createDataFrame([(url(n),) for n in after if after[n] != chain[n]], "url string")
         fixed = repair(before, links, fetched, changed, DEPTH, CONFIG, Scratch(spark))
         assert rows(fixed.visited) == rows(crawled(spark, after, seeds))
+
+
+def test_links_are_read_once(spark):
+    pages = {n: (None, [n + 1, n + 2]) for n in range(8)}
+    seeds = spark.createDataFrame([("c", url(0))], "crawl_id string, url string")
+    before = crawled(spark, pages, seeds)
+    after = {**pages, 1: ("Request timed out", []), 2: (None, [5, 7])}
+    links, fetched = tables(spark, after)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    twice = links.unionByName(links)  # repeated links change nothing
+    counted = spark.createDataFrame(twice.rdd.map(seen), links.schema)
+    fixed = repair(before, counted, fetched, spark.createDataFrame([(url(1),), (url(2),)], "url string"), DEPTH, CONFIG, Scratch(spark))
+    assert rows(fixed.visited) == rows(crawled(spark, after, seeds))
+    assert fixed.touched.agg(F.sum("looked_at")).first()[0] > 0
+    assert read.value == twice.count()
