@@ -243,3 +243,46 @@ def test_a_crawl_without_text(spark, site_pages, site_seeds):
     assert "text" not in narrow.graph.fetched.columns and narrow.graph.pages is None
     with pytest.raises(ValueError, match="without text"):
         narrow.nodes  # noqa: B018
+
+
+def test_edges_are_written_plain(spark):
+    edges = spark.createDataFrame([(SITE, SITE + "a"), (SITE, SITE + "b")], "src_url string, url string")
+    scratch = cr.Scratch(spark)
+    graph = cr.edge_graph(edges, edges.select("url").distinct(), CrawlConfig(), scratch, by_url=False)
+    assert sorted(map(tuple, graph.links.collect())) == [(SITE, [SITE + "a"]), (SITE, [SITE + "b"])]
+    assert spark.read.parquet(f"{scratch.folder}/edges_1").dtypes == [("url", "string"), ("link", "string")]
+
+
+def test_dictionaries_are_hashed_where_they_fit(spark, monkeypatch):
+    from pageloom.operators import numbered as nb
+    from pageloom.sources import scratch as sc
+
+    edges = spark.createDataFrame([(f"{SITE}p{n}", f"{SITE}p{n * 7 % 40}") for n in range(40)], "src_url string, url string")
+    seeds = cr.seed_rows(spark.createDataFrame([("c", SITE + "p1")], "crawl_id string, url string"))
+    config = CrawlConfig(prefix="off", excluded_paths=())
+    plans, write = [], sc.Scratch.write_bucketed
+
+    def noted(self, df, label, *rest):
+        if label == "neighbours":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, label, *rest)
+
+    monkeypatch.setattr(sc.Scratch, "write_bucketed", noted)
+
+    def neighbours():
+        scratch = cr.Scratch(spark)
+        graph = cr.edge_graph(edges, edges.select("url"), config, scratch, by_url=False)
+        found = nb.number(graph.links, graph.heavy, seeds, config, scratch)
+        return sorted(map(tuple, found.neighbours.selectExpr("id", "size(links)").collect()))
+
+    found = [neighbours()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found.append(neighbours())
+        monkeypatch.setattr(sc, "HASHED_BYTES", 0)
+        found.append(neighbours())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found[0] == found[1] == found[2]
+    assert ["ShuffledHashJoin" in plan for plan in plans] == [False, True, False]
+    assert "SortMergeJoin" not in plans[1]
