@@ -10,6 +10,7 @@ from pageloom.operators import crawl as cr
 from pageloom.operators import numbered as nb
 from pageloom.operators import parse
 from pageloom.plans import site
+from pageloom.sources import scratch as sc
 from pageloom.sources.journal import MANIFEST, Journal, JournalMismatch
 from pageloom.sources.scratch import Scratch
 from pageloom.sources.snapshots import PAGES_SCHEMA, SEEDS_SCHEMA
@@ -119,6 +120,65 @@ def test_older_levels_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def packed_rows(spark, rows=200_000):
+    """Rows that take little space in files and about 100 MB in memory, as paths do."""
+    path = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.concat(F.repeat(F.lit("https://a.example/d/"), 5), n.cast("string")))
+    return spark.range(rows, numPartitions=4).select("id", path.alias("path"))
+
+
+def join_of(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [name for name in ("BroadcastHashJoin", "ShuffledHashJoin", "SortMergeJoin") if name in plan]
+
+
+def test_rows_that_unpack_to_much_are_neither_hashed_nor_broadcast(spark, tmp_path):
+    scratch = Scratch(spark)
+    written = scratch.write(packed_rows(spark), "packed")
+    spark.range(3_000_000).write.parquet(str(tmp_path / "others"))
+    others = spark.read.parquet(str(tmp_path / "others"))
+    assert sc.input_bytes(written) < 10 << 20 < sc.HASHED_BYTES < sc.held_bytes(written)
+    assert join_of(others.join(written, "id")) == ["SortMergeJoin"]
+    assert join_of(others.join(sc.hashed(written), "id")) == ["SortMergeJoin"]
+    few = written.where("id % 200 = 0")
+    assert join_of(others.join(scratch.write(few, "few"), "id")) == ["BroadcastHashJoin"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert join_of(others.join(sc.hashed(written), "id")) == ["SortMergeJoin"]
+        assert join_of(others.join(sc.hashed(scratch.write(few, "few")), "id")) == ["ShuffledHashJoin"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_urls_with_one_hash_are_told_apart(spark, monkeypatch):
+    edges = random_graph(spark).unionByName(spark.createDataFrame([(None, "https://a.example/1"), ("https://a.example/1", None)], "src_url string, url string"))
+    first = edges.where("url IS NOT NULL").select("url").distinct().orderBy(F.xxhash64("url")).limit(4).collect()
+    seeds = spark.createDataFrame([(f"c{i % 2}", r.url) for i, r in enumerate(first)], SEEDS_SCHEMA)
+    plain = traversed(spark, edges, seeds, 4, prefix="off", **PLAIN)
+    assert len(plain) > 10
+    assert traversed(spark, edges, seeds, 4, prefix="off", **NUMBERED) == plain
+    monkeypatch.setattr(nb, "short", lambda url: F.pmod(F.xxhash64(url), F.lit(20)))
+    assert traversed(spark, edges, seeds, 4, prefix="off", **NUMBERED) == plain
+
+
+def test_only_parents_are_shuffled_with_their_paths(spark, monkeypatch):
+    edges = spark.createDataFrame(
+        [("https://e/", f"https://e/{n}") for n in range(9)] + [(f"https://e/{n}", f"https://e/{n % 3}/x") for n in range(3, 6)], "src_url string, url string"
+    )
+    seeds = spark.createDataFrame([("c", "https://e/"), ("gone", "https://f/")], SEEDS_SCHEMA)
+    written, write = [], Scratch.write
+
+    def noted(self, df, label):
+        written.extend([df] if label == "named_level" else [])
+        return write(self, df, label)
+
+    monkeypatch.setattr(Scratch, "write", noted)
+    config, scratch = CrawlConfig(**NUMBERED), Scratch(spark)
+    graph = cr.edge_graph(edges, edges.select(F.explode(F.array("src_url", "url")).alias("url")).distinct(), config, scratch, by_url=False)
+    visited = cr.traverse(cr.seed_rows(seeds), graph, 2, config, scratch)
+    assert [sorted(r.url for r in level.where("leads").collect()) for level in written] == [["https://e/"], ["https://e/3", "https://e/4", "https://e/5"], []]
+    assert {r.url: r.scraped for r in visited.collect()} == {"https://f/": False, "https://e/": True} | {f"https://e/{n}": True for n in range(9)} | {f"https://e/{n}/x": True for n in range(3)}
+
+
 # --- journals -----------------------------------------------------------------------------
 
 
