@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom import CrawlConfig
 from pageloom.operators import crawl as cr
 from pageloom.operators.repair import repair
+from pageloom.sources import scratch as sc
 from pageloom.sources.scratch import Scratch
 
 CONFIG = CrawlConfig(excluded_paths=(), prefix="off")
@@ -92,3 +93,35 @@ def test_links_are_read_once(spark):
     assert rows(fixed.visited) == rows(crawled(spark, after, seeds))
     assert fixed.touched.agg(F.sum("looked_at")).first()[0] > 0
     assert read.value == twice.count()
+
+
+def test_what_does_not_fit_a_task_is_sorted(spark, monkeypatch):
+    """Long URLs that are much alike take little space in files, and much in memory."""
+    monkeypatch.setattr(sc, "HASHED_BYTES", 100_000)
+    plans, write = [], Scratch.write
+
+    def noted(self, df, label):
+        if label in ("placed", "refreshed"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, label)
+
+    def long(frame):
+        return frame.select(*[F.concat(F.col(c), F.repeat(F.lit("/d"), 500)).alias(c) if "url" in c else c for c in frame.columns])
+
+    pages = {n: (None, [n + 1, n + 2]) for n in range(300)}
+    seeds = long(spark.createDataFrame([("c", url(0))], "crawl_id string, url string"))
+    links, fetched = map(long, tables(spark, pages))
+    changed = long(spark.createDataFrame([(url(1),)], "url string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scratch = Scratch(spark)
+        before = cr.traverse(cr.seed_rows(seeds), cr.edge_graph(links, fetched, CONFIG, scratch), DEPTH, CONFIG, scratch)
+        left, kept = links.join(changed.withColumnRenamed("url", "src_url"), "src_url", "left_anti"), fetched.join(changed, "url", "left_anti")
+        monkeypatch.setattr(Scratch, "write", noted)
+        fixed = repair(before, left, kept, changed, DEPTH, CONFIG, scratch)
+        after = cr.traverse(cr.seed_rows(seeds), cr.edge_graph(left, kept, CONFIG, scratch), DEPTH, CONFIG, scratch)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(fixed.visited) == rows(after)
+    joins = "\n".join(line for plan in plans for line in plan.split("\n") if "stored" in line and "Join" in line)
+    assert plans and all("SortMergeJoin" in plan for plan in plans if "stored" in plan), joins
